@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import cached_property, partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import blocking, calibrate, deltas, longitudinal, near_miss, report, security
+from ..operators import blocking, calibrate, deltas, longitudinal, report, security
 from ..operators import cluster as C
 from ..operators import profile as P
+from ..runtime import cut
 from ..schema import Config
 from ..sources import corpora
 from .analysis import Analysis
@@ -23,6 +24,25 @@ def _docs(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(corpora.documents(spark, sf_dir))
 
 
+class _TagSets(Analysis):
+    """Pages grouped by their sets of tags, 3 or more to a group; pages of rarer sets are the outsiders. SQL can group like that."""
+
+    @cached_property
+    def members(self) -> DataFrame:
+        key = self.fns.select("fn_id", F.array_join("direct_imports", "|").alias("k"))
+        ids = key.groupBy("k").agg(F.min("fn_id").alias("cluster_id"), F.count("*").alias("n")).where("n >= 3")
+        w = W.partitionBy("cluster_id").orderBy("fn_id")
+        return cut(key.join(ids, "k").select("cluster_id", "fn_id", (F.row_number().over(w) - 1).alias("member_pos")))
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        return self.fns.select("fn_id").join(self.members.select("fn_id"), "fn_id", "left_anti")
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> Analysis:
+    return _TagSets(corpora.pages(spark, sf_dir))
+
+
 def r(c: str | Column, digits: int = 6) -> Column:
     """Rounded for output; comparisons inside the analysis are of unrounded numbers."""
     c = F.col(c) if isinstance(c, str) else c
@@ -202,13 +222,18 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).near_misses
+    d = _tags(spark, sf_dir).near_misses
     return d.select("fn_id", "rank", "cluster_id", *[r(c).alias(c) for c in ("arith_score", "seq_score", "imp_score", "call_score", "cyclo_delta")])
 
 
 def delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir).deltas
-    return d.select("fn_id", "shape_hash", r("cyclo_delta").alias("cyclo_delta"), *[_text(f"{s}_{x}", "|") for s in deltas.SIDES for x in ("added", "removed")])
+    d = _tags(spark, sf_dir).deltas
+    return d.select("fn_id", "cluster_id", r("cyclo_delta").alias("cyclo_delta"), *[_text(f"{s}_{x}", "|") for s in ("imports", "calls") for x in ("added", "removed")])
+
+
+def delta_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _tags(spark, sf_dir).deltas
+    return d.select("fn_id", "shape_hash", S.delta_text(F.col("tokens_added"), F.col("tokens_removed")).alias("token_delta"))
 
 
 def _first_two(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,21 +256,21 @@ def import_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).outliers().select("fn_id", "func", "package", "file", "line", "token_delta", "import_delta", "call_delta", "cyclo_delta", "candidates")
+    return _tags(spark, sf_dir).outliers().select("fn_id", "func", "package", "file", "line", "token_delta", "import_delta", "call_delta", "cyclo_delta", "candidates")
 
 
 def outlier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _tags(spark, sf_dir)
     return deltas.outlier_groups(a.near_misses, a.clusters, a.fns)
 
 
 def potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _tags(spark, sf_dir)
     return deltas.potentials(a.near_misses, a.fns).select("shape_hash", _text("potentials", ";"))
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).export(repo="documents")
+    return _tags(spark, sf_dir).export(repo="pages")
 
 
 def export_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +278,7 @@ def export_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _tags(spark, sf_dir)
     return deltas.corpus_size(a.clusters, a.near_misses)
 
 
@@ -277,28 +302,28 @@ def report_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.explain_scores(report.score_histogram(_docs(spark, sf_dir).avg_scores))
+    return report.explain_scores(report.score_histogram(_tags(spark, sf_dir).avg_scores))
 
 
 def size_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.explain_sizes(report.size_histogram(_docs(spark, sf_dir).clusters))
+    return report.explain_sizes(report.size_histogram(_tags(spark, sf_dir).clusters))
 
 
 def package_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _tags(spark, sf_dir)
     return report.package_coverage(a.members, a.near_misses, a.fns)
 
 
 def delta_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.delta_direction(_docs(spark, sf_dir).deltas)
+    return report.delta_direction(_tags(spark, sf_dir).deltas)
 
 
 def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.missing_tokens(_docs(spark, sf_dir).deltas)
+    return report.missing_tokens(_tags(spark, sf_dir).deltas)
 
 
 def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _tags(spark, sf_dir)
     return report.cluster_rows(a.clusters, a.members, a.fns, a.near_misses)
 
 
@@ -454,7 +479,7 @@ def report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMED: tuple[Query, ...] = (
     window_hashes, encoded, eligible, function_order, postings, doc_freq, stop_buckets, shared_pairs, pair_scores, event_pair_scores, candidate_edges, scored_below, self_pairs, components,
     groups, clusters, orphans, exact_shape_groups, modal_shape, shape_disambiguation, profile, top_imports, top_call_targets, coherence, cluster_stats, medoids, representatives, common_sequence,
-    cluster_table, tier_counts, tier_rollup, ordinals, near_misses, delta_rows, token_delta, import_delta, outliers, outlier_groups, potentials, export, export_min_score, corpus_size, member_details,
+    cluster_table, tier_counts, tier_rollup, ordinals, near_misses, delta_rows, delta_tokens, token_delta, import_delta, outliers, outlier_groups, potentials, export, export_min_score, corpus_size, member_details,
     score_histogram, size_histogram, report_means, score_verdict, size_verdict, package_coverage, delta_direction, missing_tokens, cluster_rows, agreement, sweep, seq_sweep, grid, subsamples,
     calibration, knee, eligible_count, release_order, outlier_tracking, cluster_tracking, cluster_persistence, outlier_persistence, resolutions, resolution_counts, transitions, threshold_drift,
     growth, chains, chain_events, commit_counts, verdict_counts, severity_cells, severity_matrix, weaknesses, finding_counters, report_gate,

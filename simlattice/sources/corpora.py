@@ -37,7 +37,7 @@ def _rows(d: DataFrame) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents: a token for each sentence; the sentences' first words are the imports, their last words the calls."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null")
-    parts = F.filter(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n\r]+"), F.lit(0)), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n\r]+"), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
     d = d.select("doc_id", F.coalesce("source", F.lit("")).alias("package"), F.coalesce("lang", F.lit("")).alias("lang"), parts.alias("s"))
     return _rows(d.select(
         F.col("doc_id").alias("fn_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "package", "lang",
