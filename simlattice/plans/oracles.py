@@ -168,7 +168,7 @@ rel AS (SELECT tag, idx, count(DISTINCT cluster) AS clusters, count(*) AS functi
 TRACK = """
 cn AS (SELECT package, func, cluster, row_number() OVER (PARTITION BY package, func ORDER BY count(*) DESC, min(idx)) AS r FROM s GROUP BY ALL),
 track AS (SELECT package, func, arg_max(file, idx) AS file, arg_min(tag, idx) AS first_seen, arg_max(tag, idx) AS last_seen, count(*) AS num_releases, string_agg(tag, ';' ORDER BY idx) AS release_list,
-          round(avg(score), 6) AS mean_score, (SELECT cluster FROM cn WHERE cn.package = s.package AND cn.func = s.func AND r = 1) AS top_cluster FROM s GROUP BY package, func)"""
+          round(avg(score), 6) AS mean_score, any_value(cn.cluster) AS top_cluster FROM s JOIN cn USING (package, func) WHERE r = 1 GROUP BY package, func)"""
 CTRACK = """
 cz AS (SELECT tag, idx, cluster AS shape_hash, count(*) AS size FROM s GROUP BY ALL),
 ctrack AS (SELECT shape_hash, min(idx) AS first_seen_idx, arg_min(tag, idx) AS first_seen_release, count(*) AS num_releases_present, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS release_indices, string_agg(size::VARCHAR, ',' ORDER BY idx) AS sizes FROM cz GROUP BY shape_hash)"""
