@@ -166,7 +166,7 @@ wk AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS idx FROM (SELECT DI
 s AS (SELECT 'v1.' || idx || '.0' AS tag, idx, event_type AS package, 'user' || user_id AS func, '/work/repo/f' || (user_id % 7) AS file, 'c' || (user_id % 11) || '_' || event_type AS cluster, score FROM sg JOIN wk USING (week)),
 rel AS (SELECT tag, idx, count(DISTINCT cluster) AS clusters, count(*) AS functions, idx * 604800 AS ts FROM s GROUP BY ALL)"""
 TRACK = """
-cn AS (SELECT package, func, cluster, row_number() OVER (PARTITION BY package, func ORDER BY count(*) DESC, min(idx)) AS r FROM s GROUP BY ALL),
+cn AS (SELECT package, func, cluster, row_number() OVER (PARTITION BY package, func ORDER BY count(*) DESC, min(idx)) AS r FROM s GROUP BY package, func, cluster),
 track AS (SELECT package, func, arg_max(file, idx) AS file, arg_min(tag, idx) AS first_seen, arg_max(tag, idx) AS last_seen, count(*) AS num_releases, string_agg(tag, ';' ORDER BY idx) AS release_list,
           round(avg(score), 6) AS mean_score, any_value(cn.cluster) AS top_cluster FROM s JOIN cn USING (package, func) WHERE r = 1 GROUP BY package, func)"""
 CTRACK = """
