@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from .common import col
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _RAW = re.compile(r"</(script|style|noscript|template|iframe|textarea|title|svg)\b[^>]*>", re.I)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _BLANK = re.compile(r"\s+")
@@ -39,7 +40,15 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree, forgiving as browsers are: implied ends, stray ends ignored, raw elements and comments skipped."""
     root = now = Node("#root", None)
-    at = 0
+    at, opened = 0, Counter()  # what isn't open needn't be looked for among the ancestors
+
+    def close(upto: Node) -> Node:
+        n = now
+        while n is not upto.parent:
+            opened[n.tag] -= 1
+            n = n.parent
+        return n
+
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None:
@@ -55,11 +64,11 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[2]:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            if opened[tag]:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                now = close(up)
             elif tag == "p":
                 now.kids.append(Node("p", now))
             continue
@@ -68,13 +77,13 @@ def parse(page: str) -> Node:
                 end = next((e for e in _RAW.finditer(page, at) if e[1].lower() == tag), None)
                 at = end.end() if end else len(page)
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             up = now
             while up is not root and up.tag != "p" and up.tag not in ("td", "th", "div", "li", "article", "section"):
                 up = up.parent
             if up.tag == "p":
-                now = up.parent
-        if tag in IMPLIED:
+                now = close(up)
+        if tag in IMPLIED and any(opened[x] for x in IMPLIED[tag][0]):
             closes, stops = IMPLIED[tag]
             up, found = now, None
             while up is not root and up.tag not in stops:
@@ -82,13 +91,14 @@ def parse(page: str) -> Node:
                     found = up
                 up = up.parent
             if found:
-                now = found.parent
+                now = close(found)
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
         bad = tag in BOILERPLATE or bool(named and _BAD.search(named) and not _GOOD.search(named))
         node = Node(tag, now, 25.0 * bool(named and not bad and _GOOD.search(named)) + 10.0 * (tag in ("article", "main")), bad)
         now.kids.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
             now = node
+            opened[tag] += 1
     return root
 
 
@@ -143,13 +153,13 @@ def extract(page: str | None, *, least_chars: int = 25, sibling_share: float = 0
     root = parse(page)
     nodes = _measure(root)
     scored: dict[int, Node] = {}
-    for n in nodes:
-        if n.tag not in ("p", "pre", "td", "blockquote") or n.chars < least_chars:
+    hidden: set[int] = set()
+    for n in nodes:  # parents first
+        if n.bad or n.parent is not None and id(n.parent) in hidden:
+            hidden.add(id(n))
+        elif n.tag not in ("p", "pre", "td", "blockquote") or n.chars < least_chars:
             continue
-        up, skip = n, False
-        while up is not None and not skip:
-            skip, up = up.bad, up.parent
-        if skip:
+        if id(n) in hidden:
             continue
         commas = sum(k.count(",") for k in _strings(n))
         points, up, level = 1 + commas + min(n.chars // 100, 3), n.parent, 0
