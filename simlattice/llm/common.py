@@ -36,6 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys of 8 bytes that a join may send to every executor; a table of more is joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The keys, to be broadcast if they are at most ``limit`` rows. They are counted, so cut() them first."""
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -29,7 +29,7 @@ def test_ownership_decides(spark):
 
 
 def test_detectors():
-    hit = {"github": "ghp_" + "a1B2" * 9, "slack": "xoxb-1234567890-abc", "google": "AIza" + "Sy" * 17 + "x", "stripe": "sk_live_" + "a1b2c3d4" * 2, "jwt": "eyJhbGciOi.eyJzdWIiOiI.c2lnbmF0dXJl", "assigned": 'api_key: "abcdEFGH12345678"'}
+    hit = {"github": "ghp_" + "a1B2" * 9, "slack": "xoxb-1234567890-abc", "google": "AIza" + "Sy" * 17 + "x", "stripe": "sk_live_" + "a1b2c3d4" * 2, "jwt": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl", "assigned": 'api_key: "abcdEFGH12345678"'}
     for kind, pattern in S.DETECTORS:
         if kind in hit:
             assert re.search(pattern, f"x {hit[kind]} y"), kind
