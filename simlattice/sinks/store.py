@@ -16,6 +16,8 @@ def write_index(analyses: dict[str, Analysis], index: str) -> None:
         for lang, a in analyses.items():
             d = of(a).withColumn("lang", F.lit(lang))
             rows = d if rows is None else rows.unionByName(d)
+        # a partitioned table without rows has no file to tell its schema
+        rows.sparkSession.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{index}/_schemas/{name}")
         rows.write.mode("overwrite").partitionBy(*(("tier",) if name == "clusters" else ("lang",))).parquet(f"{index}/{name}")
 
 

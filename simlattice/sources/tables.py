@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
 def table(spark: SparkSession, index: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{index}/{name}")
+    """A table of the index, with its schema even where it has no row."""
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{index}/_schemas/{name}").first()[0]))
+    return spark.read.schema(schema).parquet(f"{index}/{name}")
 
 
 def clusters(spark: SparkSession, index: str, tier: str | None = None) -> DataFrame:
