@@ -23,7 +23,7 @@ def _stored(spark: SparkSession, index: str) -> Analysis:
     """An analysis whose results are the stored ones."""
     read = lambda name: tables.table(spark, index, name)
     a = Analysis(read("functions"))
-    a.__dict__ |= {"fns": read("functions"), "members": read("cluster_members").drop("lang"), "clusters": read("clusters"), "near_misses": read("near_misses").drop("lang")}
+    a.__dict__ |= {"fns": read("functions"), "members": read("cluster_members").drop("lang"), "clusters": read("clusters").drop("ordinal", "stage", "lang"), "near_misses": read("near_misses").drop("lang")}
     return a
 
 
