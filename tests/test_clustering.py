@@ -279,3 +279,11 @@ def test_blocking_by_calls_loses_nothing(spark):
             if sum(s) / len(s) >= 0.75:
                 want.add((i, c))
     assert got == want and 0 < len(want) < 75
+
+
+def test_verdicts_on_histograms(spark):
+    h = lambda *c: spark.createDataFrame([(i, n) for i, n in enumerate(c)], "bucket int, count long")
+    sizes = [report.explain_sizes(h(*c)).first()["verdict"] for c in ((0, 0, 0), (9, 9, 5), (4, 3, 1), (6, 2, 0), (6, 2, 2))]
+    assert sizes == ["none", "idioms", "healthy", "local", "mixed"]
+    scores = [report.explain_scores(h(*c)).first()["verdict"] for c in ((3, 3, 4, 0, 6), (1, 1, 1, 3, 4), (5, 5, 5, 1, 1), (5, 4, 3, 2, 1), (1, 3, 2, 4, 1))]
+    assert scores == ["bimodal", "clones", "conventions", "conventions", "spread"]
