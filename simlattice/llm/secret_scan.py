@@ -11,17 +11,18 @@ from .common import col
 
 #: (kind, pattern): the first group is the secret. The patterns mean the same to Java's and to RE2-like engines.
 DETECTORS = (
-    ("assigned", r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi_?[Kk]ey|API_KEY|TOKEN|SECRET)[ \t]*[=:][ \t]*[\"']([A-Za-z0-9_/+.-]{16,200})[\"']"),
+    ("assigned", r"(?i)(?:token|secret|passw(?:or)?d|passphrase|api[_.-]?key|access[_.-]?key)[A-Za-z0-9_.-]{0,100}[\\\"']{0,2}[ \t]*[=:]{1,2}>?[ \t]*[\\\"']{0,2}([A-Za-z0-9_/+.-]{16,}={0,2})(?:[\\\"'\s,;)}&<\]]|$)"),
     ("aws_key", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
-    ("github", r"\b(gh[pousr]_[A-Za-z0-9]{36,255})\b"),
-    ("slack", r"\b(xox[abprs]-[A-Za-z0-9-]{10,200})\b"),
+    ("github", r"\b(gh[pousr]_[A-Za-z0-9]{36,})\b"),
+    ("slack", r"\b(xox[abprs]-[A-Za-z0-9-]{10,})\b"),
     ("google", r"\b(AIza[0-9A-Za-z_-]{35})\b"),
-    ("stripe", r"\b([sr]k_live_[0-9A-Za-z]{16,200})\b"),
+    ("stripe", r"\b([sr]k_live_[0-9A-Za-z]{16,})\b"),
     ("jwt", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
     ("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----\s+([A-Za-z0-9+/=\s]{32,})-----END"),
 )
-#: A substring that every match of the detector has; it spares most texts the pattern.
-HINTS = {"assigned": ("oken", "ecret", "assw", "pi_", "piK", "pik", "API", "TOKEN", "SECRET"), "aws_key": ("AKIA", "ASIA"), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "google": ("AIza",), "stripe": ("k_live_",), "jwt": ("eyJ",), "private_key": ("PRIVATE KEY",)}
+#: A substring that every match of the detector has; it spares most texts the pattern. Those of ANY_CASE are looked for in the lower-cased text.
+HINTS = {"assigned": ("token", "secret", "passw", "passphrase", *[f"{x}{y}key" for x in ("api", "access") for y in ("", "_", ".", "-")]), "aws_key": ("AKIA", "ASIA"), "github": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "slack": ("xox",), "google": ("AIza",), "stripe": ("k_live_",), "jwt": ("eyJ",), "private_key": ("PRIVATE KEY",)}
+ANY_CASE = {"assigned"}
 
 
 def _finding(kind: str, secret: Column) -> Column:
@@ -35,7 +36,7 @@ def candidates(docs: DataFrame, *, doc_id: str, text: str, repository: Column, o
     for kind, pattern in DETECTORS:
         hinted = F.lit(False)
         for h in HINTS[kind]:
-            hinted = hinted | t.contains(h)
+            hinted = hinted | (F.lower(t) if kind in ANY_CASE else t).contains(h)
         hits = F.when(hinted, F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
         found.append(F.transform(F.coalesce(hits, F.array().cast("array<string>")), partial(_finding, kind)))
     d = docs.select(col(doc_id).alias("doc_id"), repository.alias("repository"), owner.alias("owner"), col(text).alias("t"))

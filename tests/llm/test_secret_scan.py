@@ -44,3 +44,13 @@ def test_cases(spark, docs, empty, clashing):
     assert got[5]["matches"] == 3 and got[None]["matches"] == 2 and got[5]["docs"] == 2 and got[5]["owners"] == 1
     by_column = S.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), owner=F.col("doc_id").cast("string"), repository=F.lit("r")).collect()
     assert {r["owners"] for r in by_column} == {2} and {r["repositories"] for r in by_column} == {1}
+
+
+def test_assignments_in_other_forms(spark):
+    v = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    forms = [f'access_token = "{v}"', f'client_secret="{v}"', f"db_password: '{v}'", f'API_TOKEN="{v}"', f'SECRET_KEY = "{v}"', f'PASSWORD="{v}"', f'{{"token": "{v}"}}', f"token={v}", f"export AWS_SECRET_ACCESS_KEY={v}\n", f'{{\\"apiKey\\": \\"{v}\\"}}', f"?token={v}&x=1"]
+    more = {f'token = "{v}=="': v + "==", f'secret = "{v * 9}"': v * 9, "xoxb-" + v * 9: "xoxb-" + v * 9, "sk_live_" + v * 9: "sk_live_" + v * 9, "ghp_" + v * 9: "ghp_" + v * 9}
+    want = {**dict.fromkeys(forms, v), **more}
+    rows = [(i, f"x {t} y" if not t.endswith("\n") else t, "en", "o") for i, t in enumerate(want)]
+    got = {r["doc_id"]: r["secret_hash"] for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got == {i: hashlib.sha256(s.encode()).hexdigest() for i, s in enumerate(want.values())}
