@@ -26,6 +26,8 @@ ENDS_P = BLOCK - {"br", "td", "th", "tr", "body", "html", "tbody", "thead"}
 #: An opening tag of the first closes an open one of the second, if nothing of the third lies between.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "menu"}
+#: What a page's content is in by definition, whatever its name.
+CONTENT = {"html", "body", "main", "article"}
 _BAD = re.compile(r"\b(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe)\b", re.I)
 _GOOD = re.compile(r"\b(?:article|body|content|entry|main|post|story|text)\b", re.I)
 
@@ -93,7 +95,7 @@ def parse(page: str) -> Node:
             if found:
                 now = close(found)
         named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-        bad = tag in BOILERPLATE or bool(named and _BAD.search(named) and not _GOOD.search(named))
+        bad = tag in BOILERPLATE or bool(tag not in CONTENT and named and _BAD.search(named) and not _GOOD.search(named))
         node = Node(tag, now, 25.0 * bool(named and not bad and _GOOD.search(named)) + 10.0 * (tag in ("article", "main")), bad)
         now.kids.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
@@ -110,6 +112,7 @@ def _measure(root: Node) -> list[Node]:
         order.append(n)
         stack += [k for k in n.kids if type(k) is Node]
     for n in reversed(order):
+        n.chars = n.linked = 0
         for k in n.kids:
             if type(k) is Node:
                 if not k.bad:
@@ -122,6 +125,23 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _free_forms(nodes: list[Node], least_chars: int) -> bool:
+    """Whether a form holds at least half of what paragraphs have outside other boilerplate; such forms then count as content."""
+    held, form, total = Counter(), {}, 0
+    for n in nodes:  # parents first; form: the outermost one around a node, or None; no entry below other boilerplate
+        if n.parent is not None and id(n.parent) not in form or n.bad and n.tag != "form":
+            continue
+        form[id(n)] = (form[id(n.parent)] if n.parent is not None else None) or (n if n.bad else None)
+        if n.tag in ("p", "pre", "td", "blockquote") and n.chars >= least_chars:
+            total += n.chars
+            held[id(form[id(n)])] += n.chars
+    free = {id(f) for f in form.values() if f is not None and held[id(f)] and 2 * held[id(f)] >= total}
+    for n in nodes:
+        if form.get(id(n)) is not None and id(form[id(n)]) in free and n.tag == "form":
+            n.bad = False
+    return bool(free)
+
+
 def _text(node: Node) -> str:
     """The text, a line for each block; blanks run together, entities resolved, boilerplate left out."""
     out, stack = [], [node]
@@ -146,12 +166,15 @@ def extract(page: str | None, *, least_chars: int = 25, sibling_share: float = 0
     Each paragraph of ``least_chars`` or more scores 1, a point for each comma and up to 3 for each 100 characters; its parent
     gets that, its grandparent half, and further ancestors a third by each level. A container's score is discounted by the share
     of its text in links. The best container is kept, with siblings that score ``sibling_share`` of it, or are paragraphs of
-    prose with few links. A page without such paragraphs gives all its text outside boilerplate, with score 0.
+    prose with few links. A form that holds half of the page's paragraphs or more is no boilerplate. A page without such paragraphs
+    gives all its text outside boilerplate, with score 0; if all of it is in boilerplate, then that.
     """
     if not page:
         return "", 0.0, ""
     root = parse(page)
     nodes = _measure(root)
+    if _free_forms(nodes, least_chars):
+        nodes = _measure(root)
     scored: dict[int, Node] = {}
     hidden: set[int] = set()
     for n in nodes:  # parents first
@@ -168,7 +191,12 @@ def extract(page: str | None, *, least_chars: int = 25, sibling_share: float = 0
             scored[id(up)] = up
             up, level = up.parent, level + 1
     if not scored:
-        return _text(root), 0.0, ""
+        text = _text(root)
+        if not text:
+            for n in nodes:
+                n.bad = False
+            text = _text(root)
+        return text, 0.0, ""
     final = {i: n.score * (1 - n.linked / max(1, n.chars)) for i, n in scored.items()}
     best = max((n for n in nodes if id(n) in scored), key=lambda n: final[id(n)])
     top, parent, parts = final[id(best)], best.parent, []

@@ -62,3 +62,10 @@ def test_cases(spark):
     got = H.extract_pages(d).collect()
     assert len(got) == 5 and max(len(r["text"]) for r in got) == 5000 * (len(PROSE) + 1) - 1 and sorted((r["page_id"] or 0, r["text"]) for r in got)[:2] == [(0, ""), (1, "")]
     assert H.extract_pages(spark.createDataFrame([], d.schema)).count() == 0
+
+
+def test_pages_that_name_rules_or_forms_hid():
+    for page in (f"<html class=nav><body class='has-sidebar'><p>{PROSE}</p></body></html>", f"<body class=nav-open><article class=related><p>{PROSE}</p></article></body>", f"<body><form id=aspnetForm><div><p>{PROSE}</p></div><select><option>no</select></form></body>", f"<body><div class=sidebar><p>{PROSE}</p></div></body>"):
+        assert H.extract(page)[0] == PROSE, page[:60]
+    small = f"<div><p>{PROSE}</p><p>{PROSE}</p></div><form><p>Subscribe to our letter, it is free</p></form>"
+    assert "Subscribe" not in H.extract(f"<body>{small}</body>")[0]
