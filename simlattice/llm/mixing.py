@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import col, cut, shuffle_key, token_count
 
 GOLDEN = 0.6180339887498949
-#: The mixture's sources are listed on the driver; more of them than this is an error, not a mixture.
+#: Up to so many sources are listed on the driver; of more, the edges stay a table, and slots find their source by a join.
 MAX_SOURCES = 10_000
 CHUNK = 65_536
 
@@ -63,6 +63,38 @@ def schedule(blocks: list[tuple[str, int, int]], spark, *, weights: dict[str, fl
     edges = F.array(*[F.lit(float(x)) for x in upper])
     slots = spark.range(0, int(most) + 1).withColumnRenamed("id", "slot").withColumn("u", points(kind, "slot"))
     slots = slots.select("slot", F.size(F.filter(edges, lambda e: e <= F.col("u"))).alias("i"), F.expr(f"slot div {CHUNK}").alias("c"))
+    return _ranked(slots, table)
+
+
+def schedule_of_many(sizes: DataFrame, *, weights: dict[str, float] | None, power: float, kind: str) -> DataFrame:
+    """schedule() for sizes (source, t, n) of any number of sources: the cumulative weights are a table too."""
+    spark = sizes.sparkSession
+    if weights is None:
+        d = sizes.crossJoin(sizes.agg(F.sum("t").alias("total"))).withColumn("r", F.round(F.pow(F.col("t") / F.col("total"), F.lit(power)), 12))
+    else:
+        d = sizes.join(spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, r double").where("r > 0"), "source")
+    # running sums in two steps; a range partition begins at exactly the sum at which the one before it ends
+    d = cut(d.select("source", "n", "r").repartitionByRange("source").withColumn("p", F.spark_partition_id()))
+    d = d.withColumn("run", F.sum("r").over(W.partitionBy("p").orderBy("source").rowsBetween(W.unboundedPreceding, 0)))
+    per = d.groupBy("p").agg(F.max("run").alias("s"), F.max("source").alias("last"))
+    ends = per.select("p", F.sum("s").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), "last")
+    base = ends.select("p", F.coalesce(F.lag("upto").over(W.orderBy("p")), F.lit(0.0)).alias("base"))
+    whole, last, many = ends.agg(F.max("upto"), F.max("last")).first() + (d.count(),)
+    if not many:
+        return spark.createDataFrame([], "slot long, source string, epoch long, block long")
+    d = d.join(base, "p").withColumn("hi", F.when(F.col("source") == last, 1.0).otherwise((F.col("base") + F.col("run")) / whole))
+    before = F.lag("run").over(W.partitionBy("p").orderBy("source"))
+    d = cut(d.withColumn("lo", (F.col("base") + F.coalesce(before, F.lit(0.0))) / whole).withColumn("w", F.col("r") / whole).select("source", "n", "lo", "hi", "w"))
+    most = d.agg(F.max(F.expr("(n + 2 * length(bin(cast(2 + n / w as bigint))) + 3) / w"))).first()[0]
+    cells = min(many, 1 << 20)
+    spans = d.withColumn("cell", F.explode(F.expr(f"sequence(cast(lo * {cells} as bigint), least(cast(hi * {cells} as bigint), {cells - 1}L))"))).select("cell", "lo", "hi", F.col("source").alias("i"))
+    slots = spark.range(0, int(most) + 1).withColumnRenamed("id", "slot").withColumn("u", points(kind, "slot")).withColumn("cell", F.expr(f"cast(u * {cells} as bigint)"))
+    slots = slots.join(spans, "cell").where("u >= lo and u < hi").select("slot", "i", F.expr(f"slot div {CHUNK}").alias("c"))
+    return _ranked(slots, d.select(F.col("source").alias("i"), "source", "n"))
+
+
+def _ranked(slots: DataFrame, table: DataFrame) -> DataFrame:
+    """(slot, source, epoch, block): slots (slot, i, c) of source i, ranked, up to the one by which every block of the table (i, source, n) has been placed."""
     base = slots.groupBy("c", "i").count()
     base = base.select("c", "i", (F.sum("count").over(W.partitionBy("i").orderBy("c")) - F.col("count")).alias("base"))
     slots = slots.withColumn("r", F.row_number().over(W.partitionBy("c", "i").orderBy("slot"))).join(base, ["c", "i"])
@@ -80,13 +112,15 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
 
     Null source: a source of its own, named ''. Null or blank text: no tokens, so no row. Null doc_id: kept, as null. Rows that
     repeat are placed as often as they occur; equal shuffle keys are ordered by doc_id and length. Empty table: no row. Other
-    columns of ``docs`` aren't read. Only names and sizes of sources reach the driver, MAX_SOURCES at most.
+    columns of ``docs`` aren't read. Only names and sizes of sources reach the driver, MAX_SOURCES at most; more are joined as a table.
     """
     p = cut(pieces(docs, block_tokens=block_tokens, seed=seed, doc_id=doc_id, text=text, source=source))
-    found = p.groupBy("source").agg(F.sum(F.expr("doc_to - doc_from")).alias("t"), (F.max("block") + 1).alias("n")).orderBy("source").limit(MAX_SOURCES + 1).collect()
+    sizes = p.groupBy("source").agg(F.sum(F.expr("doc_to - doc_from")).alias("t"), (F.max("block") + 1).alias("n"))
+    found = sizes.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    s = schedule([tuple(r) for r in found], docs.sparkSession, weights=weights, power=power, kind=kind)
+        s = schedule_of_many(cut(sizes), weights=weights, power=power, kind=kind)
+    else:
+        s = schedule([tuple(r) for r in found], docs.sparkSession, weights=weights, power=power, kind=kind)
     return s.join(p, ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "doc_from", "doc_to")
 
 

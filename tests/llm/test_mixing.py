@@ -73,6 +73,15 @@ def test_empty_clashing_and_left_out(spark, empty, clashing, docs):
     assert {r["doc_id"] for r in out.collect()} == set(range(60))
 
 
+def test_sources_beyond_the_cap(spark, docs, sf, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert rows(mixing.mix(docs, block_tokens=7)) == sorted(brute(docs.collect(), 7), key=str)
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 60))
+    assert rows(mixing.mix(d, block_tokens=64)) == sorted(brute(d.collect(), 64), key=str)
+    w = {f"s{i}": 1.0 + i for i in range(5)}
+    assert rows(mixing.mix(d, block_tokens=64, weights=w)) == sorted(brute(d.collect(), 64, weights=w), key=str)
+
+
 def test_unknown_points():
     with pytest.raises(ValueError):
         mixing.points("random", "slot")
