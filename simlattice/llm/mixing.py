@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from .common import col, cut, shuffle_key, token_count
+from .common import col, cut, shuffle_key, small, token_count
 
 GOLDEN = 0.6180339887498949
 #: Up to so many sources are listed on the driver; of more, the edges stay a table, and slots find their source by a join.
@@ -22,22 +22,32 @@ def points(kind: str, slot):
     raise ValueError(f"unknown points {kind!r}")
 
 
-def pieces(docs: DataFrame, *, block_tokens: int, seed: int, doc_id: str, text: str, source: str) -> DataFrame:
+def row_identity(doc_id: str, text: str, source: str) -> Column:
+    """A hash that rows share only if they have the same doc_id, source and text."""
+    return F.md5(F.concat(*[F.md5(F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("null"))) for c in (doc_id, source, text)]))
+
+
+def pieces(docs: DataFrame, *, block_tokens: int, seed: int, doc_id: str, text: str, source: str, identity: bool = False) -> DataFrame:
     """(source, block, doc_id, doc_from, doc_to): each source's shuffled token stream, cut into equal blocks.
 
+    With ``identity`` also (rid, ord): row_identity() and the row's number among rows that share it.
+
     The running token count is taken in two steps, over hash buckets and then within each, so that a hot source isn't one task.
     """
-    d = docs.select(F.coalesce(col(source), F.lit("")).alias("source"), col(doc_id).alias("doc_id"), shuffle_key(doc_id, seed).alias("k"), token_count(text).alias("n"))
-    d = d.where("n > 0").withColumn("b", F.substring("k", 1, 3))
+    d = docs.select(F.coalesce(col(source), F.lit("")).alias("source"), col(doc_id).alias("doc_id"), shuffle_key(doc_id, seed).alias("k"), token_count(text).alias("n"), *([row_identity(doc_id, text, source).alias("rid")] if identity else []))
+    d, own = d.where("n > 0"), ["rid", "ord"] if identity else []
+    d = d.withColumn("b", F.substring("k", 1, 3))
     before = d.groupBy("source", "b").agg(F.sum("n").alias("s"))
     before = before.select("source", "b", (F.sum("s").over(W.partitionBy("source").orderBy("b")) - F.col("s")).alias("base"))
-    d = d.withColumn("upto", F.sum("n").over(W.partitionBy("source", "b").orderBy("k", "doc_id", "n").rowsBetween(W.unboundedPreceding, 0)))
-    d = d.join(before, ["source", "b"]).select("source", "doc_id", "n", (F.col("base") + F.col("upto") - F.col("n")).alias("at"))
+    d = d.withColumn("upto", F.sum("n").over(W.partitionBy("source", "b").orderBy("k", "doc_id", "n", *own[:1]).rowsBetween(W.unboundedPreceding, 0)))
+    if identity:
+        d = d.withColumn("ord", F.row_number().over(W.partitionBy("source", "b", "rid").orderBy("upto")))
+    d = d.join(before, ["source", "b"]).select("source", "doc_id", "n", *own, (F.col("base") + F.col("upto") - F.col("n")).alias("at"))
     d = d.withColumn("block", F.explode(F.expr(f"sequence(at div {block_tokens}, (at + n - 1) div {block_tokens})")))
     return d.select(
         "source", "block", "doc_id",
         F.greatest(F.col("block") * block_tokens - F.col("at"), F.lit(0)).alias("doc_from"),
-        F.least((F.col("block") + 1) * block_tokens - F.col("at"), F.col("n")).alias("doc_to"),
+        F.least((F.col("block") + 1) * block_tokens - F.col("at"), F.col("n")).alias("doc_to"), *own,
     )
 
 
@@ -114,23 +124,36 @@ def mix(docs: DataFrame, *, weights: dict[str, float] | None = None, power: floa
     repeat are placed as often as they occur; equal shuffle keys are ordered by doc_id and length. Empty table: no row. Other
     columns of ``docs`` aren't read. Only names and sizes of sources reach the driver, MAX_SOURCES at most; more are joined as a table.
     """
-    p = cut(pieces(docs, block_tokens=block_tokens, seed=seed, doc_id=doc_id, text=text, source=source))
+    p, s = _mixture(docs, weights=weights, power=power, block_tokens=block_tokens, seed=seed, kind=kind, doc_id=doc_id, text=text, source=source)
+    return s.join(p, ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "doc_from", "doc_to")
+
+
+def _mixture(docs: DataFrame, *, weights: dict[str, float] | None = None, power: float = 0.8, block_tokens: int = 2048, seed: int = 17, kind: str = "golden", doc_id: str = "doc_id", text: str = "text", source: str = "source", identity: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The pieces() and their schedule()."""
+    p = cut(pieces(docs, block_tokens=block_tokens, seed=seed, doc_id=doc_id, text=text, source=source, identity=identity))
     sizes = p.groupBy("source").agg(F.sum(F.expr("doc_to - doc_from")).alias("t"), (F.max("block") + 1).alias("n"))
     found = sizes.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         s = schedule_of_many(cut(sizes), weights=weights, power=power, kind=kind)
     else:
         s = schedule([tuple(r) for r in found], docs.sparkSession, weights=weights, power=power, kind=kind)
-    return s.join(p, ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "doc_from", "doc_to")
+    return p, s
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents in the mixture's order, with the columns of ``docs``: each where its first token falls, once for each epoch.
 
-    Rows of null or blank text have no place in a token stream and go. doc_id must tell documents apart: rows that share one
-    come out as often as the product of their placements.
+    Rows of null or blank text have no place in a token stream and go. Every other row comes out once for each epoch, also if
+    rows share a null or repeated doc_id: the identity of a row is doc_id, source and text, and a number among rows alike in these.
     """
-    name = options.get("doc_id", "doc_id")
-    placed = mix(docs, **options).where("doc_from = 0").select("slot", F.col("doc_id").alias("__placed"))
-    joined = docs.join(placed, col(name).eqNullSafe(F.col("__placed"))).where(token_count(options.get("text", "text")) > 0)
-    return joined.repartitionByRange("slot", "__placed").sortWithinPartitions("slot", "__placed").select(*[col(c) for c in docs.columns])
+    names = [options.get(x, x) for x in ("doc_id", "text", "source")]
+    p, s = _mixture(docs, **options, identity=True)
+    placed = s.join(p.where("doc_from = 0"), ["source", "block"]).select(F.col("slot").alias("__slot"), F.col("doc_id").alias("__placed"), F.col("rid").alias("__rid"), F.col("ord").alias("__ord"))
+    d, repeated = docs.withColumn("__rid", row_identity(*names)), cut(p.where("ord > 1").select(F.col("rid").alias("__rid")).distinct())
+    if repeated.isEmpty():
+        d = d.withColumn("__ord", F.lit(1))
+    else:  # only rows that repeat are numbered, so the other texts move once
+        many = d.join(small(repeated), "__rid", "left_semi").withColumn("__ord", F.row_number().over(W.partitionBy("__rid").orderBy("__rid")))
+        d = d.join(small(repeated), "__rid", "left_anti").withColumn("__ord", F.lit(1)).unionByName(many)
+    joined = d.join(placed, ["__rid", "__ord"])
+    return joined.repartitionByRange("__slot", "__placed").sortWithinPartitions("__slot", "__placed").select(*[col(c) for c in docs.columns])

@@ -82,6 +82,16 @@ def test_sources_beyond_the_cap(spark, docs, sf, monkeypatch):
     assert rows(mixing.mix(d, block_tokens=64, weights=w)) == sorted(brute(d.collect(), 64, weights=w), key=str)
 
 
+def test_every_row_once_per_epoch(spark, empty):
+    rough = [(None, f"text number {i} " + "w " * (i % 5), "en", "a", i) for i in range(40)] + [(7, f"other {i % 3}", "en", f"s{i % 2}", i) for i in range(12)]
+    out = [r["n_chars"] for r in mixing.mixed_documents(spark.createDataFrame(rough, empty.schema), block_tokens=100_000, weights={"a": 1.0}).collect()]
+    assert sorted(out) == list(range(40))
+    d = spark.createDataFrame(rough, empty.schema)
+    starts = mixing.mix(d).where("doc_from = 0").groupBy("source").count().collect()
+    got = mixing.mixed_documents(d).groupBy("source").count().collect()
+    assert sorted(got) == sorted(starts) and {r["n_chars"] for r in mixing.mixed_documents(d.where("doc_id = 7")).collect()} == set(range(12))
+
+
 def test_unknown_points():
     with pytest.raises(ValueError):
         mixing.points("random", "slot")
