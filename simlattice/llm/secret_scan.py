@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, cut
 
 #: (kind, pattern): the first group is the secret. The patterns mean the same to Java's and to RE2-like engines.
 DETECTORS = (
@@ -30,16 +31,23 @@ def _finding(kind: str, secret: Column) -> Column:
 
 
 def candidates(docs: DataFrame, *, doc_id: str, text: str, repository: Column, owner: Column) -> DataFrame:
-    """(doc_id, repository, owner, kind, secret): every match of every detector in the whole texts."""
-    t = F.col("t")
-    found = []
-    for kind, pattern in DETECTORS:
-        hinted = F.lit(False)
+    """(doc_id, repository, owner, kind, secret): every match of every detector in the whole texts.
+
+    The hints are columns of their own: generated code looks for them, and lowers a text once for all of them.
+    """
+    t, found = F.col("t"), []
+    d = docs.select(col(doc_id).alias("doc_id"), repository.alias("repository"), owner.alias("owner"), col(text).alias("t"))
+    d = d.withColumn("low", F.lower("t"))
+    hinted = []
+    for kind, _ in DETECTORS:
+        some = F.lit(False)
         for h in HINTS[kind]:
-            hinted = hinted | (F.lower(t) if kind in ANY_CASE else t).contains(h)
-        hits = F.when(hinted, F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
+            some = some | F.col("low" if kind in ANY_CASE else "t").contains(h)
+        hinted.append(some.alias(f"has_{kind}"))
+    d = d.select("doc_id", "repository", "owner", "t", *hinted).where(reduce(or_, [F.col(f"has_{kind}") for kind, _ in DETECTORS]))
+    for kind, pattern in DETECTORS:
+        hits = F.when(F.col(f"has_{kind}"), F.regexp_extract_all(t, F.lit(pattern), F.lit(1)))
         found.append(F.transform(F.coalesce(hits, F.array().cast("array<string>")), partial(_finding, kind)))
-    d = docs.select(col(doc_id).alias("doc_id"), repository.alias("repository"), owner.alias("owner"), col(text).alias("t"))
     return d.select("doc_id", "repository", "owner", F.explode(F.concat(*found)).alias("x")).select("doc_id", "repository", "owner", "x.kind", "x.secret")
 
 
@@ -59,7 +67,8 @@ def scan(docs: DataFrame, *, copied_owners: int = 3, min_distinct: int = 8, doc_
     c = candidates(docs, doc_id=doc_id, text=text, repository=repository, owner=owner)
     c = c.withColumn("secret_hash", F.sha2("secret", 256))
     weak = (F.size(F.array_distinct(F.split("secret", ""))) < min_distinct) | F.col("secret").rlike("(?i)example|changeme|placeholder|dummy|your_|xxxx")
-    per = c.groupBy("doc_id", "kind", "secret_hash", "repository", "owner").agg(F.count("*").alias("matches"), F.first(weak).alias("weak"))
+    # kept, since four aggregates follow: the texts are scanned once
+    per = cut(c.groupBy("doc_id", "kind", "secret_hash", "repository", "owner").agg(F.count("*").alias("matches"), F.first(weak).alias("weak")))
     # distinct counts by steps of plain grouping: a secret with very many documents is no single task's work
     d = per.groupBy("kind", "secret_hash", "doc_id").agg(F.lit(1).alias("one")).groupBy("kind", "secret_hash").agg(F.count("*").alias("docs"))
     r = per.groupBy("kind", "secret_hash", "repository").agg(F.lit(1).alias("one")).groupBy("kind", "secret_hash").agg(F.count("*").alias("repositories"))
