@@ -45,6 +45,31 @@ def small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+#: Bits of a key filter. It is of this size whatever the data; beyond some ten million keys more passes that needn't.
+FILTER_BITS = 27
+
+
+def key_filter(keys: DataFrame, key: str = "key"):
+    """A broadcast bitmap that admits() every key of the table (64-bit hashes), and others by chance.
+
+    The marks are gathered as at most 2^FILTER_BITS / 64 words. It only spares rows a shuffle: who uses it joins exactly afterwards.
+    """
+    k, words = F.col(key), 1 << (FILTER_BITS - 6)
+    places = keys.select(F.explode(F.array(k, F.shiftrightunsigned(k, 32))).alias("p")).select(F.shiftright("p", 6).bitwiseAND(words - 1).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    marks = places.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(words, np.uint64)
+    bits[marks.column("w").to_numpy()] = marks.column("b").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def admits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys (uint64) may be in the table of key_filter()."""
+    words, at = np.uint64(len(bits) - 1), lambda p: (bits[((p >> np.uint64(6)) & words).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+    hit = at(keys).astype(bool)
+    hit[hit] = at(keys[hit] >> np.uint64(32)).astype(bool)
+    return hit
+
+
 def col(name: str) -> Column:
     """The column of exactly this name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

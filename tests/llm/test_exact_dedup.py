@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from simlattice.llm import exact_dedup as E
 
@@ -49,6 +50,40 @@ def test_duplicates(spark, docs, sf, salted):
         assert sorted(map(tuple, E.duplicates(d, salted=salted).collect()), key=str) == brute(d.collect())
 
 
+def test_documents_in_parts_against_brute_force(spark):
+    r, whole = random.Random(4), {}
+    for i in range(30):
+        whole[i] = "".join(r.choice("abcä€ ") for _ in range(r.randrange(1, 9000))) if i % 3 or i < 3 else whole[r.randrange(i)]
+    whole |= {90: "", 91: "", 92: "x", 93: "x"}
+    parts = []
+    for i, t in whole.items():
+        cuts = sorted(r.sample(range(1, len(t)), min(len(t) - 1, r.randrange(4)))) if len(t) > 1 else []
+        parts += [(i, k, t[a:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(t)]))]
+    parts += [(5, -1, None), (None, 0, "x")]
+    r.shuffle(parts)
+    d = spark.createDataFrame(parts, "doc_id long, part int, text string").withColumns({c: F.lit(1) for c in ("n", "c", "lo", "bytes", "kind", "size")})
+    for chunk in (7, 1000, 1 << 20):
+        assert sorted(map(tuple, E.part_duplicates(d, chunk=chunk).collect()), key=str) == brute([{"doc_id": i, "text": t} for i, t in whole.items()])
+    assert E.part_duplicates(d.where("false")).count() == 0
+
+
+def test_parts_of_equal_fingerprint_are_compared(spark, monkeypatch):
+    """With a fingerprint that takes all texts of a length for the same."""
+    fold = E.fold_parts
+    monkeypatch.setattr(E, "fold_parts", lambda p: fold(p).withColumns({"h1": F.lit(1), "h2": F.lit(1)}))
+    d = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 0, "a"), (2, 1, "bcd"), (3, 0, "abcx"), (4, 0, "abcx"), (5, 0, "xbcd")], "doc_id long, part int, text string")
+    assert sorted(map(tuple, E.part_duplicates(d, chunk=3).collect())) == [(2, 1), (4, 3)]
+
+
+def test_filter_lets_more_through(spark, docs, monkeypatch):
+    """A filter of 64 bits admits nearly all texts; the comparison decides."""
+    from simlattice.llm import common
+
+    want = sorted(map(str, E.duplicates(docs).collect())), sorted(map(str, E.keep_first(docs).collect()))
+    monkeypatch.setattr(common, "FILTER_BITS", 6)
+    assert (sorted(map(str, E.duplicates(docs).collect())), sorted(map(str, E.keep_first(docs).collect()))) == want
+
+
 def test_equal_fingerprints_are_compared(spark, monkeypatch):
     """Texts that the fingerprint takes for the same are told apart by their bytes."""
     d = spark.createDataFrame([(1, "k", "aa"), (2, "k", "bb"), (3, "k", "aa"), (4, "k", "bb")], "id long, key string, text string")
