@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,16 @@ def small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: like cut(), but columns are packed and read alone. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Bits of a key filter. It is of this size whatever the data; beyond some ten million keys more passes that needn't.
 FILTER_BITS = 27
 
@@ -52,19 +63,48 @@ FILTER_BITS = 27
 def key_filter(keys: DataFrame, key: str = "key"):
     """A broadcast bitmap that admits() every key of the table (64-bit hashes), and others by chance.
 
-    The marks are gathered as at most 2^FILTER_BITS / 64 words. It only spares rows a shuffle: who uses it joins exactly afterwards.
+    Tasks mark their keys in bitmaps of their own and send the marks' places, 2 bytes each; the driver gets the bitmap and no more.
+    It only spares rows a shuffle: who uses it joins exactly afterwards.
     """
-    k, words = F.col(key), 1 << (FILTER_BITS - 6)
-    places = keys.select(F.explode(F.array(k, F.shiftrightunsigned(k, 32))).alias("p")).select(F.shiftright("p", 6).bitwiseAND(words - 1).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    marks = places.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(words, np.uint64)
-    bits[marks.column("w").to_numpy()] = marks.column("b").to_numpy().view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(bits)
+    bits, block = 1 << FILTER_BITS, min(1 << 16, 1 << FILTER_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, more = np.zeros(0, np.uint32), []
+        for batch in batches:
+            k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            more += [(p & np.uint64(bits - 1)).astype(np.uint32) for p in (k, k >> np.uint64(32))]
+            if sum(map(len, more)) > 1 << 22:
+                at, more = np.unique(np.concatenate([at, *more])), []
+        at = np.unique(np.concatenate([at, *more]))
+        ends = np.searchsorted(at, np.arange(0, bits + 1, block))
+        some = np.flatnonzero(np.diff(ends))
+        small_at = (at % block).astype(np.uint16)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int64()), "places": pa.array([small_at[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, marks = None, np.zeros(block, bool)
+        for batch in batches:
+            for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != now:
+                    if now is not None:
+                        yield pa.RecordBatch.from_pydict({"block": [now], "places": [np.packbits(marks, bitorder="little").tobytes()]})
+                    now, marks = b, np.zeros(block, bool)
+                marks[np.frombuffer(places, np.uint16)] = True
+        if now is not None:
+            yield pa.RecordBatch.from_pydict({"block": [now], "places": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    shape = "block long, places binary"
+    found = keys.select(F.col(key).alias("key")).mapInArrow(mark, shape).repartition("block").sortWithinPartitions("block").mapInArrow(merge, shape).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    for b, places in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[b * block // 8 : (b + 1) * block // 8] = np.frombuffer(places, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 
 
 def admits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys (uint64) may be in the table of key_filter()."""
-    words, at = np.uint64(len(bits) - 1), lambda p: (bits[((p >> np.uint64(6)) & words).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
+    last = np.uint64(64 * len(bits) - 1)
+    at = lambda p: (bits[((p & last) >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)
     hit = at(keys).astype(bool)
     hit[hit] = at(keys[hit] >> np.uint64(32)).astype(bool)
     return hit

@@ -23,8 +23,9 @@ def points(kind: str, slot):
 
 
 def row_identity(doc_id: str, text: str, source: str) -> Column:
-    """A hash that rows share only if they have the same doc_id, source and text."""
-    return F.md5(F.concat(*[F.md5(F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("null"))) for c in (doc_id, source, text)]))
+    """128 bits that rows share only if they have the same doc_id, source and text."""
+    parts = [x for c in (doc_id, text, source) for x in (col(c).isNull(), col(c).cast("string"))]  # a null alone wouldn't change a hash
+    return F.struct(*[F.xxhash64(F.lit(seed), *parts).alias(f"h{seed}") for seed in (1, 2)])
 
 
 def pieces(docs: DataFrame, *, block_tokens: int, seed: int, doc_id: str, text: str, source: str, identity: bool = False) -> DataFrame:
@@ -35,8 +36,8 @@ def pieces(docs: DataFrame, *, block_tokens: int, seed: int, doc_id: str, text:
     The running token count is taken in two steps, over hash buckets and then within each, so that a hot source isn't one task.
     """
     d = docs.select(F.coalesce(col(source), F.lit("")).alias("source"), col(doc_id).alias("doc_id"), shuffle_key(doc_id, seed).alias("k"), token_count(text).alias("n"), *([row_identity(doc_id, text, source).alias("rid")] if identity else []))
-    d, own = d.where("n > 0"), ["rid", "ord"] if identity else []
-    d = d.withColumn("b", F.substring("k", 1, 3))
+    own = ["rid", "ord"] if identity else []
+    d = cut(d.where("n > 0").withColumn("b", F.substring("k", 1, 3)))  # kept: texts are read and their tokens counted once
     before = d.groupBy("source", "b").agg(F.sum("n").alias("s"))
     before = before.select("source", "b", (F.sum("s").over(W.partitionBy("source").orderBy("b")) - F.col("s")).alias("base"))
     d = d.withColumn("upto", F.sum("n").over(W.partitionBy("source", "b").orderBy("k", "doc_id", "n", *own[:1]).rowsBetween(W.unboundedPreceding, 0)))
@@ -145,15 +146,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows of null or blank text have no place in a token stream and go. Every other row comes out once for each epoch, also if
     rows share a null or repeated doc_id: the identity of a row is doc_id, source and text, and a number among rows alike in these.
+    Partitions of the result are equal runs of slots, so they hold about as many tokens each.
     """
     names = [options.get(x, x) for x in ("doc_id", "text", "source")]
     p, s = _mixture(docs, **options, identity=True)
-    placed = s.join(p.where("doc_from = 0"), ["source", "block"]).select(F.col("slot").alias("__slot"), F.col("doc_id").alias("__placed"), F.col("rid").alias("__rid"), F.col("ord").alias("__ord"))
+    placed = cut(s.join(p.where("doc_from = 0"), ["source", "block"]).select(F.col("slot").alias("__slot"), F.col("doc_id").alias("__placed"), F.col("rid").alias("__rid"), F.col("ord").alias("__ord")))
     d, repeated = docs.withColumn("__rid", row_identity(*names)), cut(p.where("ord > 1").select(F.col("rid").alias("__rid")).distinct())
     if repeated.isEmpty():
         d = d.withColumn("__ord", F.lit(1))
     else:  # only rows that repeat are numbered, so the other texts move once
         many = d.join(small(repeated), "__rid", "left_semi").withColumn("__ord", F.row_number().over(W.partitionBy("__rid").orderBy("__rid")))
         d = d.join(small(repeated), "__rid", "left_anti").withColumn("__ord", F.lit(1)).unionByName(many)
-    joined = d.join(placed, ["__rid", "__ord"])
-    return joined.repartitionByRange("__slot", "__placed").sortWithinPartitions("__slot", "__placed").select(*[col(c) for c in docs.columns])
+    n, slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (placed.agg(F.max("__slot")).first()[0] or 0) + 1
+    joined = d.join(small(placed), ["__rid", "__ord"]).withColumn("__part", F.expr(f"cast(__slot * {n} div {slots} as int)"))
+    return joined.repartitionById(n, F.col("__part")).sortWithinPartitions("__slot", "__placed").select(*[col(c) for c in docs.columns])

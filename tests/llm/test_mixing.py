@@ -92,6 +92,26 @@ def test_every_row_once_per_epoch(spark, empty):
     assert sorted(got) == sorted(starts) and {r["n_chars"] for r in mixing.mixed_documents(d.where("doc_id = 7")).collect()} == set(range(12))
 
 
+def test_mixed_documents_of_rough_rows(spark, docs, clashing, empty):
+    """Nulls, repeated rows and columns of names that the operator uses: every row with a token once for each epoch, in the slots' order."""
+    want = sum(bool((r["text"] or "").strip()) for r in docs.collect())
+    for d in (docs, clashing, clashing.withColumnsRenamed({"slot": "__slots", "k": "rid", "b": "ord"})):
+        one = mixing.mixed_documents(d.where("source = 'a'"), block_tokens=100_000).collect()
+        assert len(one) == sum(r["source"] == "a" and bool((r["text"] or "").strip()) for r in docs.collect())
+        out = mixing.mixed_documents(d, block_tokens=9)
+        assert out.columns == d.columns and out.count() == mixing.mix(d, block_tokens=9).where("doc_from = 0").count() >= want
+    four = spark.createDataFrame([(None, "a b", "en", "s", 1), (None, "c d", "en", "s", 2), (5, "e f", "en", "s", 3), (5, "e f", "en", "s", 3)], empty.schema)
+    assert sorted(r["n_chars"] for r in mixing.mixed_documents(four).collect()) == [1, 2, 3, 3]
+
+
+def test_partitions_follow_the_slots(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(d, block_tokens=64).where("epoch = 0 and doc_from = 0").collect()}
+    order = [r["doc_id"] for r in mixing.mixed_documents(d, block_tokens=64).collect()]
+    seen = list(dict.fromkeys(order))
+    assert set(seen) == set(slot) and [slot[i] for i in seen] == sorted(slot.values())
+
+
 def test_unknown_points():
     with pytest.raises(ValueError):
         mixing.points("random", "slot")
