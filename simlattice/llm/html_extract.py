@@ -164,7 +164,7 @@ def extract(page: str | None, *, least_chars: int = 25, sibling_share: float = 0
     """(text, score, tag of the best container).
 
     Each paragraph of ``least_chars`` or more scores 1, a point for each comma and up to 3 for each 100 characters; its parent
-    gets that, its grandparent half, and further ancestors a third by each level. A container's score is discounted by the share
+    gets that, and every further ancestor up to the body half of what the one below it got. A container's score is discounted by the share
     of its text in links. The best container is kept, with siblings that score ``sibling_share`` of it, or are paragraphs of
     prose with few links. A form that holds half of the page's paragraphs or more is no boilerplate. A page without such paragraphs
     gives all its text outside boilerplate, with score 0; if all of it is in boilerplate, then that.
@@ -175,21 +175,22 @@ def extract(page: str | None, *, least_chars: int = 25, sibling_share: float = 0
     nodes = _measure(root)
     if _free_forms(nodes, least_chars):
         nodes = _measure(root)
-    scored: dict[int, Node] = {}
     hidden: set[int] = set()
+    points: dict[int, float] = {}
     for n in nodes:  # parents first
         if n.bad or n.parent is not None and id(n.parent) in hidden:
             hidden.add(id(n))
-        elif n.tag not in ("p", "pre", "td", "blockquote") or n.chars < least_chars:
-            continue
-        if id(n) in hidden:
-            continue
-        commas = sum(k.count(",") for k in _strings(n))
-        points, up, level = 1 + commas + min(n.chars // 100, 3), n.parent, 0
-        while up is not None and up.tag not in ("#root", "html") and level < 5:
-            up.score += points / (1, 2, 6, 9, 12)[level]
-            scored[id(up)] = up
-            up, level = up.parent, level + 1
+        elif n.tag in ("p", "pre", "td", "blockquote") and n.chars >= least_chars:
+            points[id(n)] = 1 + sum(k.count(",") for k in _strings(n)) + min(n.chars // 100, 3)
+    scored: dict[int, Node] = {}
+    got: dict[int, float] = {}
+    for n in reversed(nodes):  # children first: what a node passes on is its own points and half of what it got
+        on = points.get(id(n), 0) + got.get(id(n), 0) / 2
+        if id(n) in got and n.tag not in ("#root", "html"):
+            n.score += got[id(n)]
+            scored[id(n)] = n
+        if on and n.parent is not None:
+            got[id(n.parent)] = got.get(id(n.parent), 0) + on
     if not scored:
         text = _text(root)
         if not text:
