@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, shared_dir
+from .common import col, shared_dir, stored
 
 #: Keys that the driver sees to place a shard's bounds, for each shard.
 SAMPLED = 16
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-INDEX = "page_id {id}, url string, shard long, file string, offset long, length long, digest string"
+INDEX = "url string, shard long, file string, offset long, length long, digest string"
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -57,46 +58,53 @@ def member(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def bounds(pages: DataFrame, key: Column, size: Column, shard_bytes: int) -> list[str]:
-    """The least key of every shard but the first. They depend on the records alone, not on how these lie in partitions.
+def order_key(page_id: str, url: str, page: str, kind: T.DataType) -> Column:
+    """The records' order, as text: by url, page_id as text, and a hash of the page; rows that share it are the same."""
+    ident = F.hex(page_id) if isinstance(kind, T.BinaryType) else F.col(page_id).cast("string")
+    return F.concat_ws("\0", F.coalesce(url, F.lit("")), F.coalesce(ident, F.lit("")), F.md5(F.coalesce(page, F.lit(""))))
+
+
+def bounds(keys: DataFrame, shard_bytes: int) -> list[str]:
+    """The least key of every shard but the first, from keys (k, s) with the records' sizes. They depend on the records alone, not
+    on how these lie in partitions.
 
     The keys of the least hashes are the sample, as many for each shard's worth of bytes; its evenly spaced keys are the bounds.
     """
-    keys = pages.select(key.alias("k"), size.alias("s"))
     total = keys.agg(F.sum("s"), F.count("*")).first()
     shards = -(-(total[0] or 0) // shard_bytes)
     if shards < 2:
         return []
     # a hash is below this with the chance that the sample's size asks for; hashes, and so the sample, are the same each time
     limit = int(-(2**63) + 2**64 * min(1.0, SAMPLED * shards / total[1]))
-    sample = sorted({r[0] for r in keys.where(F.xxhash64("k") <= F.lit(min(limit, 2**63 - 1))).select("k").collect()})
+    sample = sorted({r[0].encode() for r in keys.where(F.xxhash64("k") <= F.lit(min(limit, 2**63 - 1))).select("k").collect()})
     return sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
 
 
 def write(pages: DataFrame, folder: str, *, shard_bytes: int = 1 << 30, file_bytes: int = 1 << 28, level: int = 6, date: str = "2020-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Writes the pages as WARC files into ``folder`` and returns their index: INDEX, a row for each record.
+    """Writes the pages as WARC files into ``folder`` and returns their index: page_id and INDEX, a row for each record.
 
-    Records are range-sorted by url, page_id and text into shards of about ``shard_bytes`` of text. A shard's file is closed once it has
+    Records are range-sorted by url, page_id (as text) and page into shards of about ``shard_bytes`` of text, so that pages of one
+    url may lie in several shards; only rows that are the same in all three can't be parted. A shard's file is closed once it has
     ``file_bytes`` compressed bytes, and the next begun. Each is written under a temporary name and renamed when complete; then
     the shard's manifest (files, sizes, SHA-256, records) is, and last of all, by the driver, ``manifest.json``, which lists the
     shards. A task that is lost or runs twice writes the same bytes to the same name. Without manifest.json nothing counts as written.
 
-    Null url: 'about:blank', sorted as ''. Null page: an empty body. Null page_id: written. Repeated rows: each is a record, with the same
+    Null url: 'about:blank', sorted as ''. Null page: an empty body. page_id: of any type that has a text form, or binary; null: written. Repeated rows: each is a record, with the same
     id. Empty table: no shard, a manifest of none. Characters that no URL has are percent-encoded. Other columns of ``pages`` aren't read.
     """
     spark = pages.sparkSession
     p = pages.select(col(page_id).alias("page_id"), col(url).cast("string").alias("url"), col(page).alias("page"))
-    key, size = F.coalesce("url", F.lit("")), F.coalesce(F.octet_length("page"), F.lit(0)).cast("long") + 300
-    edges = bounds(p, key, size, shard_bytes)
-    encoded = [e.encode() for e in edges]
+    kind = p.schema["page_id"].dataType
+    size = F.coalesce(F.octet_length("page"), F.lit(0)).cast("long") + 300
+    p = p.withColumn("k", order_key("page_id", "url", "page", kind))
+    edges = bounds(stored(p.select("k", size.alias("s"))), shard_bytes)  # one pass over the pages finds sizes and bounds
 
-    @F.arrow_udf(T.LongType())
+    @F.arrow_udf(T.IntegerType())
     def shard_of(k: pa.Array) -> pa.Array:
         from bisect import bisect_right
 
-        return pa.array([bisect_right(encoded, x.encode()) for x in k.to_pylist()], pa.int64())
+        return pa.array([bisect_right(edges, x.encode()) for x in k.to_pylist()], pa.int32())
 
-    kind = p.schema["page_id"].dataType
     out = T.StructType([T.StructField("shard", T.LongType()), T.StructField("manifest", T.StringType())])
     info_block = b"software: deterministic sharded writer\r\nformat: WARC File Format 1.1\r\n"
 
@@ -130,13 +138,19 @@ def write(pages: DataFrame, folder: str, *, shard_bytes: int = 1 << 30, file_byt
                 close_file()
             name = f"shard-{state['shard']:06d}.json"
             text = json.dumps({"shard": state["shard"], "files": state["files"]})
-            for ending, data in (("json", text), ("index", "".join(state["index"]))):
-                with fs.open_output_stream(temporary := f"{root}/_{name}.{ending}.{attempt}") as f:
-                    f.write(data.encode())
-                fs.move(temporary, f"{root}/shard-{state['shard']:06d}.{ending}")
+            columns = dict(zip(index_names, zip(*state["index"], strict=True), strict=True))
+            index = pa.table([pa.array(columns[c], t) for c, t in zip(index_names, index_types, strict=True)], names=index_names)
+            with fs.open_output_stream(temporary := f"{root}/_{name}.index.{attempt}") as f:
+                pq.write_table(index, f)
+            fs.move(temporary, f"{root}/shard-{state['shard']:06d}.index")
+            with fs.open_output_stream(temporary := f"{root}/_{name}.{attempt}") as f:
+                f.write(text.encode())
+            fs.move(temporary, f"{root}/{name}")
             return pa.RecordBatch.from_pydict({"shard": pa.array([state["shard"]], pa.int64()), "manifest": [name]})
 
+        index_names = ["page_id", *[x.split()[0] for x in INDEX.split(", ")]]
         for batch in batches:
+            index_types = [batch.column(1).type, pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             for shard, pid, u, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if shard != state["shard"]:
                     if state["shard"] is not None:
@@ -147,25 +161,24 @@ def write(pages: DataFrame, folder: str, *, shard_bytes: int = 1 << 30, file_byt
                 data = response(u, pid, html, date)
                 offset, length = put(data)
                 state["n"] += 1
-                state["index"].append(json.dumps({"page_id": pid, "url": u, "shard": shard, "file": state["name"], "offset": offset, "length": length, "digest": digest((html or "").encode())}) + "\n")
+                state["index"].append((pid, u, shard, state["name"], offset, length, digest((html or "").encode())))
                 if state["at"] >= file_bytes:
                     close_file()
         if state["shard"] is not None:
             yield close_shard()
 
-    rows = p.withColumn("shard", shard_of(key)).select("shard", "page_id", "url", "page")
     n = len(edges) + 1
-    rows = rows.repartitionByRange(n, "shard") if n > 1 else rows.repartition(1)
-    done = rows.sortWithinPartitions("shard", F.coalesce("url", F.lit("")), "page_id", "page").mapInArrow(run, out).collect()
+    rows = p.withColumn("shard", shard_of("k")).repartitionById(n, F.col("shard")).sortWithinPartitions("k").select("shard", "page_id", "url", "page")
+    done = rows.mapInArrow(run, out).collect()
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(temporary := f"{root}/_manifest.{uuid.uuid4().hex}") as f:
         f.write(json.dumps({"shards": sorted(r["manifest"] for r in done), "date": date}).encode())
     fs.move(temporary, f"{root}/manifest.json")
-    schema = INDEX.format(id=kind.simpleString())
+    schema = T.StructType([T.StructField("page_id", kind), *T._parse_datatype_string(INDEX).fields])
     if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json([f"{folder}/shard-{r['shard']:06d}.index" for r in done])
+    return spark.read.schema(schema).parquet(*[f"{folder}/shard-{r['shard']:06d}.index" for r in done])
 
 
 def fresh_folder(spark: SparkSession) -> str:

@@ -75,3 +75,27 @@ def test_cases(spark, tmp_path):
     index = warc.write(d, str(tmp_path / "a"), file_bytes=100).collect()
     assert len(index) == 5 and [h["WARC-Target-URI"] for _, h, _ in read(str(tmp_path / "a")) if h["WARC-Type"] == "response"] == ["about:blank", *["http://a"] * 3, "http://b"]
     assert warc.write(spark.createDataFrame([], PAGES), str(tmp_path / "b")).count() == 0 and read(str(tmp_path / "b")) == []
+
+
+def test_page_ids_of_any_type(spark, tmp_path):
+    import datetime
+    import decimal
+
+    values = {"date": datetime.date(2020, 2, 3), "decimal(20,3)": decimal.Decimal("12.500"), "binary": b"\xff\x00x", "string": "é", "timestamp": datetime.datetime(2021, 1, 1, 5), "double": 2.5, "boolean": True}
+    for i, (kind, v) in enumerate(values.items()):
+        d = spark.createDataFrame([(v, "http://a", "x"), (None, "http://a", "y")], f"page_id {kind}, url string, html string")
+        index = warc.write(d, str(tmp_path / str(i)))
+        assert index.schema["page_id"].dataType == d.schema["page_id"].dataType
+        got = [r["page_id"] for r in index.collect()]
+        assert len(got) == 2 and None in got and v in got, kind
+
+
+def test_one_url_fills_many_shards(spark, tmp_path):
+    d = spark.createDataFrame([(i % 5 or None, None if i % 2 else "http://hot", f"page {i} " + "x" * 200) for i in range(400)] + [(7, "http://hot", "same")] * 50, PAGES)
+    index = warc.write(d, str(tmp_path / "a"), shard_bytes=20_000).collect()
+    by = {}
+    for r in index:
+        by.setdefault(r["shard"], []).append(r)
+    assert len(index) == 450 and len(by) > 5 and max(map(len, by.values())) < 150
+    urls = [h["WARC-Target-URI"] for _, h, _ in read(str(tmp_path / "a")) if h["WARC-Type"] == "response"]
+    assert urls == sorted(urls)
