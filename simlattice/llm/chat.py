@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +56,17 @@ class Fold:
         return [(role, "".join(parts)) for role, parts in self.messages.values()]
 
 
+_MARKS = re.compile(r"<\|(?=im_start\|>|im_end\|>)")
+_BLANK_LINE = re.compile(r"\n(?=\n)")
+
+
 def render(messages: list[tuple[str, str]], template: str = "chatml", generation_prompt: bool = False) -> str:
-    """The conversation's text. The template's own marks inside a message are broken by a blank, so that no text forges a turn."""
+    """The conversation's text. Nothing in a message forges a turn: the template's own marks, in a text or a role, are broken by a
+    blank (in the plain template the marks are blank lines), and a role's line ends and colons become blanks."""
     before, after, end = TEMPLATES[template]
-    safe = (lambda t: t.replace("<|im_start|>", "<| im_start|>").replace("<|im_end|>", "<| im_end|>")) if template == "chatml" else (lambda t: t)
-    text = "".join(before.format(role=r) + safe(t) + after for r, t in messages)
+    safe = (lambda t: _MARKS.sub("<| ", t)) if template == "chatml" else (lambda t: _BLANK_LINE.sub("\n ", t).removesuffix("\n"))
+    name = lambda r: safe(re.sub(r"[\n\r:]", " ", r))
+    text = "".join(before.format(role=name(r)) + safe(t) + after for r, t in messages)
     return text + (before.format(role="assistant") if generation_prompt else "") + end
 
 
@@ -106,15 +113,31 @@ def reconstruct(events: DataFrame, *, template: str = "chatml") -> DataFrame:
     return e.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(run, out)
 
 
-def as_log(turns: DataFrame, *, delta_chars: int = 64) -> DataFrame:
+def as_log(turns: DataFrame, *, delta_chars: int = 64, revised: bool = False) -> DataFrame:
     """The events of a table (conv_id, turn, role, text), as a server would have streamed them: a message is created, then grows
     by deltas of ``delta_chars`` characters. seq orders them by turn and place; texts stay whole. A null turn comes first. Different rows
-    of one turn are messages of their own, by role and text; a row that repeats counts once."""
+    of one turn are messages of their own, by role and text; a row that repeats counts once.
+
+    With ``revised`` the log also has what came to nothing, and folding must undo it: users' messages of odd turns begin as the
+    reversed text, are replied to, and edited; assistants' messages are streamed reversed, followed up, and generated again; of all
+    other messages a copy is created and deleted.
+    """
     t = turns.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("tie", F.dense_rank().over(W.partitionBy("conv_id", "turn").orderBy("role", "text")))
-    n = F.greatest(F.expr(f"ceil(length(text) / {delta_chars})"), F.lit(1)).cast("long")
-    t = t.withColumn("j", F.explode(F.sequence(F.lit(0), n - 1)))
-    return t.select(
-        "conv_id", F.struct("turn", "tie", "j").alias("seq"), F.concat_ws(".", "turn", "tie").alias("message_id"),
-        F.when(F.col("j") == 0, "create").otherwise("delta").alias("kind"), "role", F.expr(f"substr(text, cast(j * {delta_chars} + 1 as int), {delta_chars})").alias("text"),
-    )
+    none, own = F.lit(None).cast("string"), F.concat_ws(".", "turn", "tie")
+    event = lambda kind, role, text, ident=own: F.struct(ident.alias("message_id"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+
+    def stream(text: Column, first: str) -> Column:
+        n = F.greatest(F.ceil(F.length(text) / delta_chars), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: event(F.when(j == 0, first).otherwise("delta"), F.col("role"), F.substr(text, j * delta_chars + 1, F.lit(delta_chars))))
+
+    text, role, other = F.col("text"), F.col("role"), F.concat(own, F.lit(".x"))
+    events = stream(text, "create")
+    if revised:
+        lit = F.lit
+        edited = F.array(event(lit("create"), role, F.reverse(text)), event(lit("create"), lit("assistant"), text, other), event(lit("delta"), none, text, other), event(lit("edit"), none, text))
+        again = F.concat(stream(F.reverse(text), "create"), F.array(event(lit("create"), lit("user"), text, other), event(lit("regenerate"), none, none)), stream(text, "delta"))
+        gone = F.concat(events, F.array(event(lit("create"), role, text, other), event(lit("delete"), none, none, other)))
+        events = F.when((role == "user") & (F.col("turn") % 2 == 1), edited).when(role == "assistant", again).otherwise(gone)
+    t = t.select("conv_id", "turn", "tie", F.posexplode(events).alias("j", "e"))
+    return t.select("conv_id", F.struct("turn", "tie", "j").alias("seq"), "e.message_id", "e.kind", "e.role", "e.text")

@@ -60,43 +60,56 @@ def stored(df: DataFrame) -> DataFrame:
 FILTER_BITS = 27
 
 
-def key_filter(keys: DataFrame, key: str = "key"):
-    """A broadcast bitmap that admits() every key of the table (64-bit hashes), and others by chance.
+def key_filter(keys: DataFrame, key: str = "key", twice: bool = False):
+    """A broadcast bitmap that admits() every key of the table (64-bit hashes), or with ``twice`` every one that occurs in two rows or more; and others by chance.
 
-    Tasks mark their keys in bitmaps of their own and send the marks' places, 2 bytes each; the driver gets the bitmap and no more.
-    It only spares rows a shuffle: who uses it joins exactly afterwards.
+    Tasks send the places of their keys' marks, 2 bytes each; the driver gets the bitmap and no more. It only spares rows a
+    shuffle: who uses it joins or counts exactly afterwards.
     """
     bits, block = 1 << FILTER_BITS, min(1 << 16, 1 << FILTER_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, more = np.zeros(0, np.uint32), []
+        at, again, more = np.zeros(0, np.uint32), np.zeros(0, np.uint32), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            u, c = np.unique(np.concatenate([at, *more]), return_counts=True)
+            return u, np.union1d(again, u[c > 1]) if twice else again
+
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             more += [(p & np.uint64(bits - 1)).astype(np.uint32) for p in (k, k >> np.uint64(32))]
             if sum(map(len, more)) > 1 << 22:
-                at, more = np.unique(np.concatenate([at, *more])), []
-        at = np.unique(np.concatenate([at, *more]))
-        ends = np.searchsorted(at, np.arange(0, bits + 1, block))
-        some = np.flatnonzero(np.diff(ends))
-        small_at = (at % block).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int64()), "places": pa.array([small_at[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())})
+                at, again = merged()
+                more = []
+        at, again = merged()
+        for places, often in ((at, False), (again, True)):
+            ends = np.searchsorted(places, np.arange(0, bits + 1, block))
+            some = np.flatnonzero(np.diff(ends))
+            low = (places % block).astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int64()), "often": pa.array([often] * len(some), pa.bool_()), "places": pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, marks = None, np.zeros(block, bool)
+        now, seen, often_seen = None, np.zeros(block, bool), np.zeros(block, bool)
+        close = lambda: pa.RecordBatch.from_pydict({"block": [now], "often": [True], "places": [np.packbits(often_seen if twice else seen, bitorder="little").tobytes()]})
         for batch in batches:
-            for b, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for b, often, places in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if b != now:
                     if now is not None:
-                        yield pa.RecordBatch.from_pydict({"block": [now], "places": [np.packbits(marks, bitorder="little").tobytes()]})
-                    now, marks = b, np.zeros(block, bool)
-                marks[np.frombuffer(places, np.uint16)] = True
+                        yield close()
+                    now, seen, often_seen = b, np.zeros(block, bool), np.zeros(block, bool)
+                at = np.frombuffer(places, np.uint16)
+                if often:
+                    often_seen[at] = True
+                else:
+                    often_seen[at] |= seen[at]
+                    seen[at] = True
         if now is not None:
-            yield pa.RecordBatch.from_pydict({"block": [now], "places": [np.packbits(marks, bitorder="little").tobytes()]})
+            yield close()
 
-    shape = "block long, places binary"
+    shape = "block long, often boolean, places binary"
     found = keys.select(F.col(key).alias("key")).mapInArrow(mark, shape).repartition("block").sortWithinPartitions("block").mapInArrow(merge, shape).toArrow()
     out = np.zeros(bits // 8, np.uint8)
-    for b, places in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+    for b, places in zip(found.column(0).to_pylist(), found.column(2).to_pylist(), strict=True):
         out[b * block // 8 : (b + 1) * block // 8] = np.frombuffer(places, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
 

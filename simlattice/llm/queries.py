@@ -35,7 +35,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.reconstruct(chat.as_log(_table(spark, sf_dir, "conversations")))
+    return chat.reconstruct(chat.as_log(_table(spark, sf_dir, "conversations"), revised=True))
 
 
 def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +109,15 @@ FROM r JOIN g USING (kind, secret_hash)
 """
 
 
-OP6 = """
+def _safe(text: str) -> str:
+    return f"replace(replace({text}, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>')"
+
+
+#: What the log of drafts, edits, regenerations and deletions must fold to: the table's own turns.
+OP6 = f"""
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations)
 SELECT conv_id, count(*) AS n_messages, arg_max(role, (turn, role, text)) AS last_role,
-       string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+       string_agg('<|im_start|>' || {_safe("regexp_replace(role, '[\\n\\r:]', ' ', 'g')")} || chr(10) || {_safe('text')} || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
 FROM t GROUP BY conv_id
 """
 
