@@ -8,8 +8,8 @@ import pyarrow.compute as pc
 
 from .common import buffers, hash_of, word_hashes
 
-#: Classes of characters; a multi-byte character counts once, by its first byte.
-CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "other")
+#: Classes of characters: ASCII by kind, the others by script. A multi-byte character counts once, by its first byte.
+CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "latin", "greek_cyrillic", "semitic", "indic", "kana", "han", "hangul", "other")
 MARKS = ".,;:'\"!?()-"
 
 #: Common words of four languages.
@@ -20,21 +20,24 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si",
 }
 
-_TABLE = np.full(256, 6, np.int64)
+_TABLE = np.full(256, CLASSES.index("other"), np.int64)
 _TABLE[33:127] = 5
 _TABLE[[*range(97, 123)]] = 0
 _TABLE[[*range(65, 91)]] = 1
 _TABLE[[*range(48, 58)]] = 2
 _TABLE[[9, 10, 11, 12, 13, 32]] = 3
 _TABLE[[ord(x) for x in MARKS]] = 4
-_TABLE[128:192] = 7  # within a character
+for _name, _first, _last in (("symbol", 0xC2, 0xC2), ("latin", 0xC3, 0xCC), ("greek_cyrillic", 0xCD, 0xD4), ("semitic", 0xD6, 0xDF), ("indic", 0xE0, 0xE0), ("symbol", 0xE2, 0xE2), ("kana", 0xE3, 0xE3), ("han", 0xE4, 0xE9), ("hangul", 0xEA, 0xED)):
+    _TABLE[_first : _last + 1] = CLASSES.index(_name)
+_TABLE[128:192] = len(CLASSES)  # within a character
 
 
 def class_counts(texts: pa.Array) -> np.ndarray:
     """Characters of each class, a row for each text."""
     data, offsets = buffers(texts)
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    return np.bincount(row * 8 + _TABLE[data], minlength=8 * len(texts)).reshape(-1, 8)[:, :7]
+    width = len(CLASSES) + 1
+    return np.bincount(row * width + _TABLE[data], minlength=width * len(texts)).reshape(-1, width)[:, :-1]
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,13 +56,20 @@ def common_words(lang: str) -> tuple[np.ndarray, np.ndarray]:
     return _COMMON[lang]
 
 
-def word_counts(found: tuple[np.ndarray, np.ndarray, np.ndarray], langs: list[str]) -> np.ndarray:
-    """Occurrences of each common word of the text's language, then those of all other words; a row for each text."""
+def word_counts(found: tuple[np.ndarray, np.ndarray, np.ndarray], langs: list[str], learned: dict[str, list[int]] | None = None) -> np.ndarray:
+    """Occurrences of each common word of the text's language, then those of all other words; a row for each text.
+
+    learned: hashes of the common words of languages that COMMON doesn't have, 30 at most.
+    """
     h, row, _ = found
     out = np.zeros((len(langs), 31), np.int64)
     of = np.array(langs, object)
     for lang in {*langs}:
         keys, place = common_words(lang)
+        if not len(keys) and learned and learned.get(lang):
+            keys = np.array(learned[lang], np.int64).view(np.uint64)
+            place = np.argsort(keys)
+            keys = keys[place]
         mine = (of == lang)[row]
         w, r = h[mine], row[mine]
         at = np.full(len(w), 30)

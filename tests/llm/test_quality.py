@@ -27,6 +27,7 @@ def test_histograms_against_plain_counting():
     classes = textstats.class_counts(pa.array(texts, pa.large_string()))
     for t, row in zip(texts, classes):
         assert row.sum() == len(t)
+        assert row[6] == sum(0xC0 <= ord(c) < 0x340 for c in t) and row[5] == sum(c in "—" for c in t)
         assert row[0] == sum("a" <= c <= "z" for c in t) and row[1] == sum("A" <= c <= "Z" for c in t) and row[2] == sum("0" <= c <= "9" for c in t)
     words = textstats.word_counts(textstats.words(pa.array(texts, pa.large_string())), ["en"] * 5)
     common = textstats.COMMON["en"].split()
@@ -84,3 +85,40 @@ def test_noise_is_rejected(spark):
     noise = [(100, "@@## %%%% &&&& " * 100, "en"), (101, "zxqv wrtp lkjh mnbv " * 80, "en")]
     got = {x["doc_id"]: x["keep"] for x in quality.judge(spark.createDataFrame(prose + noise, "doc_id long, text string, lang string")).collect()}
     assert all(got[i] for i in range(40)) and not got[100] and not got[101]
+
+
+WORDS = {"el": "και το του της να η με για από που στο είναι".split(), "ru": "и в не на что с как по это все она так".split()}
+
+
+def _foreign(seed=3):
+    r, rows = random.Random(seed), []
+    for lang, common in WORDS.items():
+        rest = ["".join(r.choice("αβγδεζηθλμν" if lang == "el" else "бвгдежзклмн") for _ in range(7)) for _ in range(3000)]
+        rows += [(len(rows) + i, " ".join(r.choice(common) if r.random() < 0.45 else r.choice(rest) for _ in range(250)), lang) for i in range(60)]
+    return rows
+
+
+def test_common_words_are_learned(spark):
+    rows = _foreign() + [(900, "the of and to " * 30, "en"), (901, "x y z " * 50, None), (902, "q w e " * 50, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["lang"]: r["common"] for r in quality.learned_words(d).collect()}
+    assert set(got) == set(WORDS)
+    for lang, common in WORDS.items():
+        n = {}
+        for _, text, l in rows:  # noqa: E741
+            if l == lang:
+                for w in text.split():
+                    n[w] = n.get(w, 0) + 1
+        total = sum(n.values())
+        want = sorted((w for w in n if n[w] >= 0.005 * total), key=lambda w: (-n[w], np.array([textstats.hash_of(w)], np.uint64).view(np.int64)[0]))[:30]
+        assert got[lang] == [int(np.array([textstats.hash_of(w)], np.uint64).view(np.int64)[0]) for w in want] and set(want) == set(common)
+
+
+def test_other_languages_and_scripts_are_judged(spark):
+    r, rows = random.Random(8), _foreign()
+    salad = " ".join(r.choice(["αβγ", "δεζ", "ηθι", "κλμ"]) for _ in range(400))
+    bad = [(500, salad, "el"), (501, " ".join(w for w in WORDS["ru"] * 30), "el"), (502, "漢字仮名交じり 文 " * 100, "ru")]
+    d = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["keep"], x["reason"]) for x in quality.judge(d).collect()}
+    assert all(got[i][0] for i, _, _ in rows) and got[500] == (False, "words") and got[501] == (False, "words") and got[502] == (False, "characters")
+    assert {x["doc_id"]: (x["keep"], x["reason"]) for x in quality.judge(d, max_references=0).collect()} == got
