@@ -25,6 +25,48 @@ def test_flat_traversal_is_the_walk():
     assert ((f.scores(x) > 0.5) == y).mean() > 0.97
 
 
+def plain_fit(x, y, trees, depth, rate=0.2, least=10, l2=1.0):
+    """Every split of every node tried by itself, one row after the other; the score of each row."""
+    n, m = x.shape
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, C.BINS + 1)[1:-1]))) for j in range(m)]
+    p = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    f = [float(np.log(p / (1 - p)))] * n
+
+    def grow(rows, g, h, level):
+        gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best, found = 1e-6, None
+        if level < depth and len(rows) >= 2 * least:
+            for j in range(m):
+                for e in edges[j]:
+                    left = [i for i in rows if x[i, j] <= e]
+                    if len(left) < least or len(rows) - len(left) < least:
+                        continue
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    gain = gl**2 / (hl + l2) + (gs - gl) ** 2 / (hs - hl + l2) - gs**2 / (hs + l2)
+                    if gain > best + 1e-9:
+                        best, found = gain, (j, e)
+        if found is None:
+            for i in rows:
+                f[i] -= rate * gs / (hs + l2)
+            return
+        j, e = found
+        grow([i for i in rows if x[i, j] <= e], g, h, level + 1)
+        grow([i for i in rows if x[i, j] > e], g, h, level + 1)
+
+    for _ in range(trees):
+        q = [1 / (1 + np.exp(-v)) for v in f]
+        grow(list(range(n)), [q[i] - y[i] for i in range(n)], [max(v * (1 - v), 1e-9) for v in q], 0)
+    return 1 / (1 + np.exp(-np.array(f)))
+
+
+def test_splits_against_brute_force():
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.normal(size=150), r.integers(0, 4, 150), r.normal(size=150) ** 3])
+    y = ((x[:, 0] + x[:, 1] > 1.5) ^ (x[:, 2] > 1)).astype(float)
+    for trees, depth in ((1, 1), (3, 3), (5, 4)):
+        assert np.allclose(C.fit(x, y, trees=trees, depth=depth).scores(x), plain_fit(x, y, trees, depth), atol=1e-9)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -44,3 +44,20 @@ def test_rough_rows(spark, docs, sf):
     for _, stage in load().STAGES:
         d = stage(spark, d, sf)
     assert d.count() > 0
+
+
+def test_clashing_columns(spark, clashing, docs, sf):
+    """Every stage with columns named like the operators' own; what is kept is what is kept without them."""
+    for _, stage in load().STAGES[:4]:
+        plain, d = stage(spark, docs, sf), stage(spark, clashing, sf)
+        assert d.columns == clashing.columns
+        assert sorted(map(str, d.select("doc_id", "text").collect())) == sorted(map(str, plain.select("doc_id", "text").collect()))
+    assert load().STAGES[4][1](spark, clashing, sf).count() == load().STAGES[4][1](spark, docs, sf).count()
+
+
+def test_run_leaves_only_its_result(spark, sf):
+    from simlattice.llm.common import shared_dir
+
+    before = set(Path(shared_dir(spark)).glob("pipeline-*/*"))
+    out = load().run(spark, sf)
+    assert out.count() > 0 and [x.name for x in set(Path(shared_dir(spark)).glob("pipeline-*/*")) - before] == ["4"]
