@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A token of the operators that count tokens: a maximal run of characters other than blank, tab and line ends.
 TOKEN = "[^ \\t\\n\\r]+"
 #: Numpy work is cut into slices of about so many bytes of text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,7 +78,7 @@ def key_filter(keys: DataFrame, key: str = "key", twice: bool = False):
         for batch in batches:
             k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             more += [(p & np.uint64(bits - 1)).astype(np.uint32) for p in (k, k >> np.uint64(32))]
-            if sum(map(len, more)) > 1 << 22:
+            if sum(map(len, more)) > 1 << 20:
                 at, again = merged()
                 more = []
         at, again = merged()
