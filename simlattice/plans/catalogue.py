@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -12,35 +12,22 @@ from ..functions import scalars as S
 from ..operators import blocking, calibrate, deltas, longitudinal, report, security
 from ..operators import cluster as C
 from ..operators import profile as P
-from ..runtime import cut
 from ..schema import Config
 from ..sources import corpora
 from .analysis import Analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The threshold of the analysis of events.
+LOOSE = 0.65
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> Analysis:
     return Analysis(corpora.documents(spark, sf_dir))
 
 
-class _TagSets(Analysis):
-    """Pages grouped by their sets of tags, 3 or more to a group; pages of rarer sets are the outsiders. SQL can group like that."""
-
-    @cached_property
-    def members(self) -> DataFrame:
-        key = self.fns.select("fn_id", F.array_join("direct_imports", "|").alias("k"))
-        ids = key.groupBy("k").agg(F.min("fn_id").alias("cluster_id"), F.count("*").alias("n")).where("n >= 3")
-        w = W.partitionBy("cluster_id").orderBy("fn_id")
-        return cut(key.join(ids, "k").select("cluster_id", "fn_id", (F.row_number().over(w) - 1).alias("member_pos")))
-
-    @cached_property
-    def orphans(self) -> DataFrame:
-        return self.fns.select("fn_id").join(self.members.select("fn_id"), "fn_id", "left_anti")
-
-
-def _tags(spark: SparkSession, sf_dir: str) -> Analysis:
-    return _TagSets(corpora.pages(spark, sf_dir))
+def _events(spark: SparkSession, sf_dir: str) -> Analysis:
+    """Users' weeks at a loose threshold: components that are no cliques, clusters of all tiers, and near misses."""
+    return Analysis(corpora.user_weeks(spark, sf_dir), Config(identify_threshold=LOOSE))
 
 
 def r(c: str | Column, digits: int = 6) -> Column:
@@ -133,6 +120,18 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).orphans
 
 
+def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groups.select("cluster_id", "fn_id", "member_pos")
+
+
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).members.select("cluster_id", "fn_id")
+
+
+def event_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).orphans
+
+
 def exact_shape_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.exact_groups(corpora.documents(spark, sf_dir))
 
@@ -196,7 +195,7 @@ def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _docs(spark, sf_dir)
+    a = _events(spark, sf_dir)
     return P.common_sequence(a.members, a.fns).select("cluster_id", S.seq_key(F.col("common_seq")).alias("common_seq"))
 
 
@@ -222,17 +221,17 @@ def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _tags(spark, sf_dir).near_misses
+    d = _events(spark, sf_dir).near_misses
     return d.select("fn_id", "rank", "cluster_id", *[r(c).alias(c) for c in ("arith_score", "seq_score", "imp_score", "call_score", "cyclo_delta")])
 
 
 def delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _tags(spark, sf_dir).deltas
+    d = _events(spark, sf_dir).deltas
     return d.select("fn_id", "cluster_id", r("cyclo_delta").alias("cyclo_delta"), *[_text(f"{s}_{x}", "|") for s in ("imports", "calls") for x in ("added", "removed")])
 
 
 def delta_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _tags(spark, sf_dir).deltas
+    d = _events(spark, sf_dir).deltas
     return d.select("fn_id", "shape_hash", S.delta_text(F.col("tokens_added"), F.col("tokens_removed")).alias("token_delta"))
 
 
@@ -255,22 +254,35 @@ def import_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("i", "j", diff("i", "j").alias("added"), diff("j", "i").alias("removed"))
 
 
+def _names(c: str) -> Column:
+    return F.array_join(c, "|").alias(c.replace(".", "_"))
+
+
 def outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir).outliers().select("fn_id", "func", "package", "file", "line", "token_delta", "import_delta", "call_delta", "cyclo_delta", "candidates")
+    d = _events(spark, sf_dir).outliers()
+    each = F.transform("candidates", lambda c: F.concat_ws("/", c["rank"].cast("string"), c["cluster_id"], F.format_string("%.4f", F.round(c["score"], 4)), c["tier"], c["size"].cast("string"), c["common_shape"]))
+    sides = [F.array_join(f"{side}_delta.{x}", "|").alias(f"{side}_{x}") for side in ("token", "import", "call") for x in ("added", "removed")]
+    return d.select("fn_id", "func", "package", "file", "line", *sides, r("cyclo_delta").alias("cyclo_delta"), F.array_join(each, ";").alias("candidates"))
 
 
 def outlier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _tags(spark, sf_dir)
-    return deltas.outlier_groups(a.near_misses, a.clusters, a.fns)
+    a = _events(spark, sf_dir)
+    d = deltas.outlier_groups(a.near_misses, a.clusters, a.fns)
+    each = F.transform("outliers", lambda o: F.concat_ws("/", o["package"], o["name"], o["token_shape"], *[F.array_join(o[f"{s}_{x}"], "+") for s in ("tokens", "imports", "calls") for x in ("added", "removed")]))
+    return d.select("cluster_id", "cluster_hash", "cluster_label", "common_shape", "tier", F.array_join(each, ";").alias("outliers"))
 
 
 def potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _tags(spark, sf_dir)
+    a = _events(spark, sf_dir)
     return deltas.potentials(a.near_misses, a.fns).select("shape_hash", _text("potentials", ";"))
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tags(spark, sf_dir).export(repo="pages")
+    """The document's numbers, and of its lists what identifies each entry, in order."""
+    d = _events(spark, sf_dir).export(repo="events", min_score=0.75)
+    clusters = F.transform("clusters", lambda c: F.concat_ws("/", c["shape_hash"], c["tier"], c["size"].cast("string"), c["common_shape"], F.array_join(F.transform(c["members"], lambda m: m["func"]), "+")))
+    lone = F.transform("orphans", lambda o: F.concat_ws("/", o["package"], o["func"], F.array_join(o["imports"], "+"), F.array_join(F.transform(o["candidates"], lambda c: F.concat_ws(":", c["rank"].cast("string"), c["cluster_hash"])), "+")))
+    return d.select("repo", "commit", "corpus_size", "unclustered_count", F.array_join(F.array_sort(clusters), ";").alias("clusters"), F.array_join(lone, ";").alias("orphans"))
 
 
 def export_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +290,7 @@ def export_min_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _tags(spark, sf_dir)
+    a = _events(spark, sf_dir)
     return deltas.corpus_size(a.clusters, a.near_misses)
 
 
@@ -302,29 +314,30 @@ def report_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.explain_scores(report.score_histogram(_tags(spark, sf_dir).avg_scores))
+    return report.explain_scores(report.score_histogram(_events(spark, sf_dir).avg_scores))
 
 
 def size_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.explain_sizes(report.size_histogram(_tags(spark, sf_dir).clusters))
+    return report.explain_sizes(report.size_histogram(_events(spark, sf_dir).clusters))
 
 
 def package_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _tags(spark, sf_dir)
+    a = _events(spark, sf_dir)
     return report.package_coverage(a.members, a.near_misses, a.fns)
 
 
 def delta_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.delta_direction(_tags(spark, sf_dir).deltas)
+    return report.delta_direction(_events(spark, sf_dir).deltas)
 
 
 def missing_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.missing_tokens(_tags(spark, sf_dir).deltas)
+    return report.missing_tokens(_events(spark, sf_dir).deltas)
 
 
 def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _tags(spark, sf_dir)
-    return report.cluster_rows(a.clusters, a.members, a.fns, a.near_misses)
+    a = _events(spark, sf_dir)
+    d = report.cluster_rows(a.clusters, a.members, a.fns, a.near_misses)
+    return d.select(*[r(c, 5).alias(c) if t == "double" else _text(c, ";") if t.startswith("array") else F.col(c) for c, t in d.dtypes])
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,11 +371,11 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knee(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The knee of a curve of whole-table facts: the share of suppliers' line items at discounts up to each level."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_discount is not null")
-    d = li.groupBy(F.round("l_discount", 2).alias("threshold")).agg(F.avg(F.col("l_quantity") / 50).alias("bootstrap_stability"))
-    top = F.col("threshold") * F.col("bootstrap_stability")
-    return calibrate.knee(d.select("threshold", top.alias("bootstrap_stability"))).select("knee_threshold", r("max_drop").alias("max_drop"))
+    """The knee of a curve of whole-table facts: the share of line items with at most each discount."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_discount is not null").groupBy(F.round("l_discount", 2).alias("threshold")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy("threshold"))  # a row for each discount
+    d = d.select("threshold", (upto / F.sum("n").over(W.partitionBy())).alias("bootstrap_stability"))
+    return calibrate.knee(d).select("knee_threshold", r("max_drop").alias("max_drop"))
 
 
 def eligible_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,7 +491,7 @@ def report_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMED: tuple[Query, ...] = (
     window_hashes, encoded, eligible, function_order, postings, doc_freq, stop_buckets, shared_pairs, pair_scores, event_pair_scores, candidate_edges, scored_below, self_pairs, components,
-    groups, clusters, orphans, exact_shape_groups, modal_shape, shape_disambiguation, profile, top_imports, top_call_targets, coherence, cluster_stats, medoids, representatives, common_sequence,
+    groups, clusters, orphans, event_groups, event_clusters, event_orphans, exact_shape_groups, modal_shape, shape_disambiguation, profile, top_imports, top_call_targets, coherence, cluster_stats, medoids, representatives, common_sequence,
     cluster_table, tier_counts, tier_rollup, ordinals, near_misses, delta_rows, delta_tokens, token_delta, import_delta, outliers, outlier_groups, potentials, export, export_min_score, corpus_size, member_details,
     score_histogram, size_histogram, report_means, score_verdict, size_verdict, package_coverage, delta_direction, missing_tokens, cluster_rows, agreement, sweep, seq_sweep, grid, subsamples,
     calibration, knee, eligible_count, release_order, outlier_tracking, cluster_tracking, cluster_persistence, outlier_persistence, resolutions, resolution_counts, transitions, threshold_drift,

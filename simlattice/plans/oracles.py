@@ -60,22 +60,50 @@ sp AS (SELECT i, j, shared, {_SEQ.format('a.enc', 'b.enc')} AS seq_s, {_JACCARD.
 sc AS (SELECT *, cbrt(seq_s * imp_s * call_s) AS geo FROM sp WHERE seq_s >= {seq})"""
 
 
-#: At the size of the check all components are cliques, so that complete linkage and connectedness agree.
-GROUPS = """
+#: Connected components of the edge graph.
+COMPONENTS = """
 e AS (SELECT i, j FROM sc WHERE geo >= 0.75),
 reach(a, b) AS (SELECT i, i FROM e UNION SELECT j, j FROM e UNION SELECT r.a, CASE WHEN e.i = r.b THEN e.j ELSE e.i END FROM reach r JOIN e ON e.i = r.b OR e.j = r.b),
 comp AS (SELECT a AS fn_id, min(b) AS component FROM reach GROUP BY a)"""
+
+
+def _greedy(threshold: float) -> str:
+    """Complete linkage, edge after edge: link has the groups as lists after k edges. A merge needs every pair across to be an edge."""
+    return f"""
+e AS (SELECT i, j, geo FROM sc WHERE geo >= {threshold}),
+ord AS (SELECT fn_id, row_number() OVER (ORDER BY okey, file_path, fn_id) AS p FROM ft WHERE fn_id IN (SELECT i FROM e UNION SELECT j FROM e)),
+se AS (SELECT least(a.p, b.p) AS x, greatest(a.p, b.p) AS y, row_number() OVER (ORDER BY geo DESC, least(a.p, b.p), greatest(a.p, b.p)) AS k FROM e JOIN ord a ON a.fn_id = i JOIN ord b ON b.fn_id = j),
+ek AS (SELECT list(x * 1000000 + y) AS pairs FROM se),
+link(k, g) AS (SELECT CAST(0 AS BIGINT), (SELECT list([p]) FROM ord) UNION ALL
+  SELECT k, CASE WHEN a <> b AND len(list_filter(flatten(list_transform(a, lambda u: list_transform(b, lambda v: least(u, v) * 1000000 + greatest(u, v)))), lambda z: NOT list_contains(pairs, z))) = 0
+    THEN list_append(list_filter(g, lambda m: m <> a AND m <> b), CASE WHEN len(a) >= len(b) THEN list_concat(a, b) ELSE list_concat(b, a) END) ELSE g END
+  FROM (SELECT se.k, g, list_filter(g, lambda m: list_contains(m, x))[1] AS a, list_filter(g, lambda m: list_contains(m, y))[1] AS b, pairs FROM link JOIN se ON se.k = link.k + 1 CROSS JOIN ek)),
+gl AS (SELECT unnest(g) AS m FROM (SELECT arg_max(g, k) AS g FROM link)),
+comp AS (SELECT min(fn_id) OVER (PARTITION BY m) AS component, fn_id, list_position(m, p) - 1 AS member_pos FROM (SELECT m, unnest(m) AS p FROM gl WHERE len(m) > 1) JOIN ord USING (p))"""
+
+
 MEMBERS = """
 sizes AS (SELECT component, count(*) AS n FROM comp GROUP BY component),
-m AS (SELECT component AS cluster_id, fn_id FROM comp JOIN sizes USING (component) WHERE n >= 3 AND n < 0.05 * (SELECT count(*) FROM fns))"""
+m AS (SELECT component AS cluster_id, fn_id, member_pos FROM comp JOIN sizes USING (component) WHERE n >= 3 AND n < 0.05 * (SELECT count(*) FROM fns))"""
+#: The threshold of the analysis of events: components are far from cliques there, and there are near misses.
+LOOSE = 0.65
+BELOW = f"""
+below AS (SELECT i AS fn_id FROM sc WHERE geo < {LOOSE} UNION SELECT j FROM sc WHERE geo < {LOOSE}),
+lone AS (SELECT * FROM ft WHERE fn_id IN (SELECT fn_id FROM below) AND fn_id NOT IN (SELECT fn_id FROM comp))"""
+#: The members' common subsequence: st2 folds member r's sequence into what is common so far, one token (i) after the other. A row
+#: of the table holds the subsequences themselves; of equally long ones the last counts, as when going back from the ends.
+COMMON = """
+sq AS (SELECT cluster_id, list(enc ORDER BY member_pos) AS bs FROM m JOIN ft USING (fn_id) GROUP BY cluster_id),
+st2(cluster_id, r, i, a, cells) AS (SELECT cluster_id, CAST(2 AS BIGINT), CAST(0 AS BIGINT), bs[1], list_transform(range(length(bs[2]) + 1), lambda z: '') FROM sq UNION ALL
+  SELECT cluster_id, CASE WHEN i < length(a) THEN r ELSE r + 1 END, CASE WHEN i < length(a) THEN i + 1 ELSE 0 END, CASE WHEN i < length(a) THEN a ELSE cells[-1] END,
+    CASE WHEN i < length(a) THEN list_concat([''], list_transform(range(1, length(bs[r]) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k:
+      {'l': length(CASE WHEN a[i + 1] = bs[r][k] THEN cells[k] || a[i + 1] ELSE cells[k + 1] END), 'k': k, 's': CASE WHEN a[i + 1] = bs[r][k] THEN cells[k] || a[i + 1] ELSE cells[k + 1] END})).s))
+    ELSE list_transform(range(coalesce(length(bs[r + 1]), 0) + 1), lambda z: '') END
+  FROM st2 JOIN sq USING (cluster_id) WHERE r <= len(bs)),
+cmn AS (SELECT st2.cluster_id, CASE WHEN a = '' THEN [] ELSE list_transform(string_split(a, ''), lambda x: ord(x) - 33) END AS common FROM st2 JOIN sq USING (cluster_id) WHERE r = len(bs) + 1 AND i = 0)"""
 EXACT = """
 eg AS (SELECT min(fn_id) OVER (PARTITION BY key) AS cluster_id, fn_id, row_number() OVER (PARTITION BY key ORDER BY fn_id) - 1 AS member_pos, count(*) OVER (PARTITION BY key) AS n FROM ft WHERE len(t) > 0),
 m AS (SELECT cluster_id, fn_id, member_pos FROM eg WHERE n >= 2)"""
-TAGS = """
-tk AS (SELECT fn_id, array_to_string(imps, '|') AS k FROM ft),
-tg AS (SELECT k, min(fn_id) AS cluster_id FROM tk GROUP BY k HAVING count(*) >= 3),
-m AS (SELECT cluster_id, fn_id FROM tk JOIN tg USING (k))"""
-
 _ARITH = f"({_SEQ.format('a.enc', 'b.enc')} + {_JACCARD.format('a.imps', 'b.imps')} + {_JACCARD.format('a.calls', 'b.calls')}) / 3.0"
 _GEO = f"cbrt(({_SEQ.format('a.enc', 'b.enc')}) * ({_JACCARD.format('a.imps', 'b.imps')}) * ({_JACCARD.format('a.calls', 'b.calls')}))"
 
@@ -98,12 +126,11 @@ cs AS (SELECT *, CASE WHEN size <= 1 THEN 0 ELSE ln(size) * ln(1 + packages) * C
 MEDOIDS = """
 md AS (SELECT cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9) DESC, okey, file_path, fn_id) AS rank, fn_id, score FROM ms JOIN ft USING (fn_id))"""
 NEAR = f"""
-lone AS (SELECT * FROM ft WHERE fn_id NOT IN (SELECT fn_id FROM m)),
 gate AS (SELECT lone.fn_id, md.cluster_id FROM lone CROSS JOIN md JOIN ft b ON b.fn_id = md.fn_id JOIN lone a ON a.fn_id = lone.fn_id WHERE md.rank = 1 AND ({_SEQ.format('a.enc', 'b.enc')}) >= 0.30),
 parts AS (SELECT a.fn_id, m.cluster_id, count(*) AS n, avg({_SEQ.format('a.enc', 'b.enc')}) AS seq_score, avg({_JACCARD.format('a.imps', 'b.imps')}) AS imp_score, avg({_JACCARD.format('a.calls', 'b.calls')}) AS call_score, any_value(a.cyclo) AS cyclo
           FROM gate JOIN lone a USING (fn_id) JOIN m ON m.cluster_id = gate.cluster_id JOIN ft b ON b.fn_id = m.fn_id GROUP BY ALL),
 nm0 AS (SELECT parts.*, (seq_score + imp_score + call_score) / 3.0 AS arith_score, cyclo - cyclo_mean AS cyclo_delta, mean_score, std_score FROM parts JOIN cs USING (cluster_id)),
-nm AS (SELECT * FROM nm0 WHERE arith_score >= 0.75 + n / (n + 5.0) * greatest(mean_score - 1.5 * std_score - 0.75, 0))"""
+nm AS (SELECT * FROM nm0 WHERE arith_score >= {LOOSE} + n / (n + 5.0) * greatest(mean_score - 1.5 * std_score - {LOOSE}, 0))"""
 MODAL = """
 mc AS (SELECT cluster_id, key, count(*) AS n FROM m JOIN ft USING (fn_id) GROUP BY ALL),
 mk AS (SELECT cluster_id, key AS seq_key, substr(sha256(key), 1, 16) AS h FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, key) AS r FROM mc) WHERE r = 1),
@@ -125,14 +152,41 @@ tops AS (SELECT cluster_id, array_to_string(list(key ORDER BY r), '|') AS top FR
 _D = (DOCS, FEATURES)
 _B = (*_D, BLOCK)
 _S = (*_B, SHARED, _scored())
-_M = (*_S, GROUPS, MEMBERS)
+_G = (*_S, _greedy(0.75))
+_M = (*_G, MEMBERS)
 _C = (*_M, _member_scores("arith"), STATS, COHERENCE, CLUSTERS)
-_T = (PAGES, FEATURES, TAGS, _member_scores("arith"), STATS, COHERENCE, CLUSTERS, MEDOIDS, NEAR)
+_E = (EVENTS, FEATURES, BLOCK, SHARED, _scored(), _greedy(LOOSE), MEMBERS)
+_T = (*_E, BELOW, _member_scores("arith"), STATS, COHERENCE, CLUSTERS, MEDOIDS, NEAR)
 _SEQUENCES = "SELECT fn_id, name, package, array_to_string(t, ',') AS seq_key, array_to_string(imps, '|') AS direct_imports, array_to_string(calls, '|') AS call_targets FROM fns"
 _ROUND = "round(seq_s, 6) AS seq_s, round(imp_s, 6) AS imp_s, round(call_s, 6) AS call_s, round(geo, 6) AS geo"
 _NAMES = "[" + ", ".join(f"'{t}'" for t in TOKENS) + "]"
 
 
+def _token(x: str, other: str) -> str:
+    return f"CASE WHEN {x} < {len(TOKENS)} THEN {_NAMES}[{x} + 1] ELSE '{other}' || {x} END"
+
+
+def _shape(seq: str) -> str:
+    return f"array_to_string(list_transform({seq}, lambda x: {_token('x', 'T')}), ' ')"
+
+
+def _lists() -> str:
+    """top-5 lists of each cluster: ti for imports, tc for calls."""
+    return ", ".join(f"t{k} AS (SELECT cluster_id, list(key ORDER BY r) AS top FROM (SELECT cluster_id, key, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, key) AS r FROM (SELECT cluster_id, unnest({c}) AS key FROM m JOIN ft USING (fn_id)) GROUP BY cluster_id, key) WHERE r <= 5 GROUP BY cluster_id)" for k, c in (("i", "imps"), ("c", "calls")))
+
+
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY fn_id ORDER BY arith_score DESC, shape_hash) AS rank FROM nm JOIN shape USING (cluster_id))"
+
+
+def _deltas() -> str:
+    """dl: each near miss and its best candidate, with what it adds and lacks."""
+    bag = lambda a, b: f"list_sort(list_transform(flatten(list_transform(list_distinct({a}), lambda x: list_transform(range(greatest(len(list_filter({a}, lambda y: y = x)) - len(list_filter({b}, lambda y: y = x)), 0)), lambda k: x))), lambda x: {_token('x', 'tok')}))"
+    items = lambda a, b: f"list_sort(list_filter({a}, lambda x: NOT list_contains({b}, x)))"
+    both = {"tokens": (bag, "t", "common"), "imports": (items, "imps", "ti.top"), "calls": (items, "calls", "tc.top")}
+    columns = ", ".join(f"{f(x, y)} AS {n}_{w}" for n, (f, a, b) in both.items() for w, x, y in (("added", a, b), ("removed", b, a)))
+    return f"{_RANKED}, {_lists()}, dl AS (SELECT fn_id, cluster_id, shape_hash, cyclo_delta, name, ft.package, file_path, t, common, {columns} FROM ranked JOIN ft USING (fn_id) JOIN cmn USING (cluster_id) JOIN ti USING (cluster_id) JOIN tc USING (cluster_id) WHERE rank = 1)"
+
+
 def _quantiles() -> str:
     cols = {"cyclo": "cyclo", "nesting": "nesting", "calls": "ncalls", "early_returns": "early", "defers": "defers"}
     return ", ".join(f"round(quantile_cont({c}::DOUBLE, {x}), 6) AS {n}_{p}" for n, c in cols.items() for p, x in (("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))
@@ -216,10 +270,14 @@ def oracle_sql() -> dict[str, str]:
     out["candidate_edges"] = q("SELECT i, j, round(geo, 6) AS geo FROM sc WHERE geo >= 0.75", *_S)
     out["scored_below"] = q("SELECT i AS fn_id FROM sc WHERE geo < 0.75 UNION SELECT j FROM sc WHERE geo < 0.75", *_S)
     out["self_pairs"] = q("SELECT fn_id AS i, CAST(sum(mult * (mult - 1) // 2) AS BIGINT) AS shared FROM usable WHERE mult > 1 GROUP BY fn_id", *_B, SHARED)
-    out["components"] = q("SELECT fn_id, component FROM comp", *_S, GROUPS)
-    out["groups"] = q("SELECT component AS cluster_id, fn_id FROM comp", *_S, GROUPS)
+    out["components"] = q("SELECT fn_id, component FROM comp", *_S, COMPONENTS)
+    out["groups"] = q("SELECT component AS cluster_id, fn_id FROM comp", *_G)
     out["clusters"] = q("SELECT cluster_id, fn_id FROM m", *_M)
-    out["orphans"] = q("SELECT fn_id FROM (SELECT i AS fn_id FROM sc WHERE geo < 0.75 UNION SELECT j FROM sc WHERE geo < 0.75) WHERE fn_id NOT IN (SELECT fn_id FROM comp)", *_S, GROUPS)
+    out["orphans"] = q("SELECT fn_id FROM (SELECT i AS fn_id FROM sc WHERE geo < 0.75 UNION SELECT j FROM sc WHERE geo < 0.75) WHERE fn_id NOT IN (SELECT fn_id FROM comp)", *_G)
+    out["event_groups"] = q("SELECT component AS cluster_id, fn_id, member_pos FROM comp", *_E)
+    out["event_clusters"] = q("SELECT cluster_id, fn_id FROM m", *_E)
+    out["event_orphans"] = q("SELECT fn_id FROM lone", *_E, BELOW)
+    out["common_sequence"] = q("SELECT cluster_id, array_to_string(common, ',') AS common_seq FROM cmn", *_E, COMMON)
     out["exact_shape_groups"] = q("SELECT * FROM m", *_D, EXACT)
     out["modal_shape"] = q("SELECT * FROM shape", *_M, MODAL)
     out["shape_disambiguation"] = q("SELECT cluster_id, shape_hash FROM shape", *_D, "m AS (SELECT min(fn_id) OVER (PARTITION BY lang, key) AS cluster_id, fn_id FROM ft WHERE len(t) > 0)", MODAL)
@@ -250,6 +308,43 @@ def oracle_sql() -> dict[str, str]:
     out["delta_rows"] = q(
         f"""SELECT fn_id, cluster_id, round(cyclo_delta, 6) AS cyclo_delta, {_list_diff('imps', 'ti.top')} AS imports_added, {_list_diff('ti.top', 'imps')} AS imports_removed, {_list_diff('calls', 'tc.top')} AS calls_added, {_list_diff('tc.top', 'calls')} AS calls_removed
         FROM best JOIN ft USING (fn_id) JOIN ti USING (cluster_id) JOIN tc USING (cluster_id)""", *_T, MODAL, first, lists)
+    dl = (*_T, MODAL, COMMON, _deltas())
+    text = "list_concat(list_transform(tokens_added, lambda x: '+' || x), list_transform(tokens_removed, lambda x: '-' || x))"
+    out["delta_tokens"] = q(f"SELECT fn_id, shape_hash, CASE WHEN len({text}) = 0 THEN '—' ELSE array_to_string({text}, '  ') END AS token_delta FROM dl", *dl)
+    sides = lambda sep, names=("token", "import", "call"): ", ".join(f"array_to_string({n}s_{w}, '{sep}') AS {n}_{w}" for n in names for w in ("added", "removed"))
+    each = f"rank || '/' || shape_hash || '/' || printf('%.4f', round(arith_score, 4)) || '/' || tier || '/' || size || '/' || {_shape('common')}"
+    out["outliers"] = q(
+        f"""SELECT fn_id, name AS func, package, file_path AS file, 1 AS line, {sides('|')}, round(cyclo_delta, 6) AS cyclo_delta, candidates FROM dl JOIN
+        (SELECT fn_id, string_agg({each}, ';' ORDER BY rank) AS candidates FROM ranked JOIN cs USING (cluster_id) JOIN cmn USING (cluster_id) GROUP BY fn_id) USING (fn_id)""", *dl)
+    row = " || '/' || ".join(["package", "name", _shape("t"), *[f"array_to_string({n}_{w}, '+')" for n in ("tokens", "imports", "calls") for w in ("added", "removed")]])
+    out["outlier_groups"] = q(
+        f"""SELECT substr(shape_hash, 1, 6) AS cluster_id, shape_hash AS cluster_hash, '' AS cluster_label, any_value({_shape('common')}) AS common_shape, any_value(tier) AS tier, string_agg({row}, ';' ORDER BY package, name) AS outliers
+        FROM (SELECT dl.*, tier FROM dl JOIN cs USING (cluster_id)) GROUP BY shape_hash""", *dl)
+    some = lambda w: " + ".join(f"len({n}_{w})" for n in ("tokens", "imports", "calls")) + " > 0"
+    out["delta_direction"] = q("SELECT * FROM hist", *dl, _histogram(f"SELECT CASE WHEN {some('removed')} AND {some('added')} THEN 2 WHEN {some('removed')} THEN 0 ELSE 1 END AS bucket, count(*) AS n FROM dl WHERE {some('removed')} OR {some('added')} GROUP BY 1", ("missing", "extends", "mixed")))
+    out["missing_tokens"] = q("SELECT token, count, CAST(floor(count * 100 / max(count) OVER ()) AS INT) AS width FROM (SELECT token, count(*) AS count FROM (SELECT unnest(tokens_removed) AS token FROM dl) GROUP BY token ORDER BY count DESC, token LIMIT 10)", *dl)
+    b = [f"coalesce(sum(count) FILTER (bucket = {i}), 0)::BIGINT AS b{i}" for i in range(5)]
+    verdict = "CASE WHEN total = 0 THEN 'none' WHEN body > b3 AND b4 > b3 AND b3 < (body + b4) // 3 AND clone >= 15 THEN 'bimodal' WHEN clone >= 25 THEN 'clones' WHEN loose >= 80 THEN 'conventions' WHEN b0 >= b1 AND b1 >= b2 AND b2 >= b3 AND b3 >= b4 THEN 'declining' ELSE 'spread' END"
+    says = "CASE verdict WHEN 'none' THEN 'There are no clusters.' WHEN 'bimodal' THEN printf('Two populations: %d%% loose conventions under 0.85, and %d%% near copies from 0.95 on, with a gap between.', loose, clone) WHEN 'clones' THEN printf('Near copies prevail: %d%% of clusters score 0.95 or more.', clone) WHEN 'conventions' THEN printf('Conventions with variation prevail: %d%% of clusters score under 0.85.', loose) WHEN 'declining' THEN 'Counts fall steadily from the threshold upwards; no group of near copies stands out.' ELSE printf('The %d clusters are spread over the whole range; no band stands out.', total) END"
+    out["score_verdict"] = q(f"SELECT total, verdict, {says} AS text FROM (SELECT *, {verdict} AS verdict FROM (SELECT *, b4 * 100 // greatest(total, 1) AS clone, body * 100 // greatest(total, 1) AS loose FROM (SELECT *, b0 + b1 + b2 + b3 + b4 AS total, b0 + b1 + b2 AS body FROM (SELECT {', '.join(b)} FROM hist))))", *_E, _member_scores("geo"), _SCORE_HIST)
+    verdict = "CASE WHEN total = 0 THEN 'none' WHEN b2 >= 5 THEN 'idioms' WHEN b2 >= 1 AND b1 >= 3 THEN 'healthy' WHEN b2 = 0 AND b1 <= 2 THEN 'local' ELSE 'mixed' END"
+    says = "CASE verdict WHEN 'none' THEN 'There are no clusters.' WHEN 'idioms' THEN printf('%d clusters have 10 members or more: idioms of the whole corpus.', b2) WHEN 'healthy' THEN printf('%d%% of clusters have 5 members or more: conventions recur in many places.', large) WHEN 'local' THEN printf('Patterns are local: %d clusters have 3 or 4 members, few have more.', b0) ELSE printf('%d%% of clusters have 5 members or more, %d of them 10 or more.', large, b2) END"
+    out["size_verdict"] = q(f"SELECT total, verdict, {says} AS text FROM (SELECT *, {verdict} AS verdict FROM (SELECT *, (b1 + b2) * 100 // greatest(total, 1) AS large FROM (SELECT *, b0 + b1 + b2 AS total FROM (SELECT {', '.join(b[:3])} FROM hist))))", *_E, _SIZE_HIST)
+    entry = f"shape_hash || '/' || tier || '/' || size || '/' || {_shape('common')} || '/' || fs"
+    lone = "package || '/' || name || '/' || array_to_string(imps, '+') || '/' || cands"
+    out["export"] = q(
+        f"""SELECT 'events' AS repo, '' AS "commit", (SELECT count(*) FROM m) + (SELECT count(DISTINCT fn_id) FROM nm) AS corpus_size, (SELECT count(DISTINCT fn_id) FROM nm) AS unclustered_count,
+        (SELECT string_agg(e, ';' ORDER BY e) FROM (SELECT {entry} AS e FROM cs JOIN shape USING (cluster_id) JOIN cmn USING (cluster_id) JOIN (SELECT cluster_id, string_agg(name, '+' ORDER BY member_pos) AS fs FROM m JOIN ft USING (fn_id) GROUP BY cluster_id) USING (cluster_id) WHERE mean_score >= 0.75)) AS clusters,
+        (SELECT string_agg({lone}, ';' ORDER BY package, name) FROM ft JOIN (SELECT fn_id, string_agg(rank || ':' || shape_hash, '+' ORDER BY rank) AS cands FROM ranked GROUP BY fn_id) USING (fn_id)) AS orphans""", *dl)
+    badge = lambda c, hi, lo: f"CASE WHEN {c} >= {hi} THEN 'green' WHEN {c} >= {lo} THEN 'yellow' ELSE 'red' END"
+    near = "name || '#' || CASE WHEN len(string_split(file_path, '/')) <= 3 THEN file_path ELSE array_to_string(string_split(file_path, '/')[-3:], '/') END || '#1'"
+    out["cluster_rows"] = q(
+        f"""SELECT tier, row_number() OVER (PARTITION BY tier ORDER BY round(composite_score, 9) DESC, size DESC, cluster_id) AS ordinal, substr(shape_hash, 1, 6) AS stable_id, shape_hash, shape_hash AS label, size, {_shape('common')} AS common_shape,
+        round(av, 5) AS avg_score, {badge('av', 0.75, 0.55)} AS score_badge, round(coherence, 5) AS coherence, {badge('coherence', 0.6, 0.4)} AS coherence_badge, round(call_coherence, 5) AS call_coherence, round(cyclo_mean, 5) AS cyclo_mean,
+        round(composite_score, 5) AS composite_score, CAST(least(greatest(floor(composite_score / 8.0 * 100), 0), 100) AS INT) AS bar, array_to_string(ti.top, ', ') AS imports, pks AS packages, coalesce(ps, '') AS potentials
+        FROM cs JOIN shape USING (cluster_id) JOIN cmn USING (cluster_id) JOIN ti USING (cluster_id) JOIN (SELECT cluster_id, avg(score) AS av FROM gs GROUP BY cluster_id) USING (cluster_id)
+        JOIN (SELECT cluster_id, string_agg(DISTINCT package, ', ' ORDER BY package) AS pks FROM m JOIN ft USING (fn_id) GROUP BY cluster_id) USING (cluster_id)
+        LEFT JOIN (SELECT cluster_id, string_agg(p, ';' ORDER BY p) AS ps FROM (SELECT cluster_id, {near} AS p FROM nm JOIN ft USING (fn_id)) GROUP BY cluster_id) USING (cluster_id)""", *dl, _member_scores("geo").replace("ms AS", "gs AS"))
     out["token_delta"] = q(f"SELECT i, j, {_bag_diff('a.t', 'b.t')} AS added, {_bag_diff('b.t', 'a.t')} AS removed FROM sc JOIN ft a ON a.fn_id = i JOIN ft b ON b.fn_id = j", *_S)
     out["import_delta"] = q(f"SELECT i, j, {_list_diff('a.imps', 'b.imps')} AS added, {_list_diff('b.imps', 'a.imps')} AS removed FROM sc JOIN ft a ON a.fn_id = i JOIN ft b ON b.fn_id = j", *_S)
     out["potentials"] = q("SELECT shape_hash, string_agg(p, ';' ORDER BY p) AS potentials FROM (SELECT shape_hash, name || '#' || CASE WHEN len(string_split(file_path, '/')) <= 3 THEN file_path ELSE array_to_string(string_split(file_path, '/')[-3:], '/') END || '#1' AS p FROM nm JOIN shape USING (cluster_id) JOIN ft USING (fn_id)) GROUP BY shape_hash", *_T, MODAL)
@@ -274,7 +369,8 @@ def oracle_sql() -> dict[str, str]:
     out["grid"] = """SELECT a::DOUBLE AS identify_threshold, b::DOUBLE AS seq_similarity_threshold, c::INT AS max_bucket, round(b::DOUBLE * 0.75, 6) AS seq_fast_reject, printf('IT=%.2f|SS=%.2f|MB=%d', a::DOUBLE, b::DOUBLE, c) AS config
         FROM (SELECT unnest([0.60, 0.65, 0.70, 0.75, 0.80, 0.85]) AS a), (SELECT unnest([0.25, 0.30, 0.35, 0.40, 0.45, 0.50]) AS b), (SELECT unnest([100, 200, 300, 400, 500]) AS c)"""
     out["eligible_count"] = q("SELECT count(*) AS eligible FROM fns WHERE len(t) >= 3", DOCS)
-    out["knee"] = """SELECT threshold AS knee_threshold, round(drop, 6) AS max_drop FROM (SELECT threshold, lag(s) OVER (ORDER BY threshold DESC) - s AS drop, count(*) OVER () AS n FROM (SELECT round(l_discount, 2) AS threshold, round(l_discount, 2) * avg(l_quantity / 50) AS s FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1))
+    out["knee"] = """SELECT threshold AS knee_threshold, round(drop, 6) AS max_drop FROM (SELECT threshold, lag(s) OVER (ORDER BY threshold DESC) - s AS drop, count(*) OVER () AS n FROM
+        (SELECT threshold, sum(n) OVER (ORDER BY threshold) / sum(n) OVER ()::DOUBLE AS s FROM (SELECT round(l_discount, 2) AS threshold, count(*) AS n FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1)))
         WHERE n >= 3 AND drop >= 0.05 ORDER BY drop DESC, threshold DESC LIMIT 1"""
     out["release_order"] = q("SELECT tag, idx FROM rel", SNAPS)
     out["outlier_tracking"] = q("SELECT * FROM track", SNAPS, TRACK)

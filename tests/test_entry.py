@@ -53,7 +53,7 @@ def _value(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", ["clusters", "near_misses", "delta_rows", "profile", "resolutions", "chains", "severity_matrix", "window_hashes"])
+@pytest.mark.parametrize("name", ["clusters", "event_groups", "common_sequence", "near_misses", "outliers", "cluster_rows", "export", "profile", "resolutions", "chains", "severity_matrix", "window_hashes", "knee"])
 def test_queries_agree_with_their_sql(spark, name):
     import duckdb
 
@@ -69,3 +69,16 @@ def test_queries_agree_with_their_sql(spark, name):
     want = sorted("|".join(_value(v) for _, v in sorted(zip(names, x))) for x in r.fetchall())
     assert sorted(names) == sorted(df.columns)
     assert sorted("|".join(_value(v) for _, v in sorted(x.asDict().items())) for x in df.collect()) == want
+    assert want, name
+
+
+def test_the_gate_of_complete_linkage_matters(spark, monkeypatch):
+    """Without it the groups of events are others, so the SQL does check it."""
+    from simlattice.operators import cluster
+    from simlattice.plans import catalogue
+
+    sf = "/root/testdata/sf0.01"
+    with_gate = sorted(map(tuple, catalogue.event_groups(spark, sf).collect()))
+    kernel = cluster.agglomerate
+    monkeypatch.setattr(cluster, "agglomerate", lambda edges, n, threshold, floor=None: kernel(edges, n, 0.0, floor))
+    assert sorted(map(tuple, catalogue.event_groups(spark, sf).collect())) != with_gate
