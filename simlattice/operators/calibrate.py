@@ -41,9 +41,14 @@ def subsamples(fns: DataFrame, rounds: int = 20, fraction: float = 0.8, seed: in
     The rows with the least hashes of (fn_id, boot, seed) are taken: the same each time, whatever the partitions.
     """
     n = fns.agg(F.count("*").alias("n")).select(F.greatest(F.floor(F.col("n") * fraction), F.lit(3)).alias("k"))
-    d = fns.select("fn_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("boot"))
-    w = W.partitionBy("boot").orderBy(F.xxhash64("fn_id", "boot", F.lit(seed)), "fn_id")
-    return d.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(n)).where("r <= k").select("boot", "fn_id")  # n is one row
+    d = fns.select("fn_id", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("boot")).withColumn("h", F.xxhash64("fn_id", "boot", F.lit(seed)))
+    # ranks in two steps: hashes are dealt to 4096 classes in their order; only the class at the bound needs ranks within it
+    d = d.withColumn("c", F.shiftright("h", 52))
+    per = d.groupBy("boot", "c").agg(F.count("*").alias("m"))
+    per = per.withColumn("upto", F.sum("m").over(W.partitionBy("boot").orderBy("c"))).crossJoin(F.broadcast(n))  # n is one row
+    d = d.join(F.broadcast(per.select("boot", "c", (F.col("k") - F.col("upto") + F.col("m")).alias("room"), "m")), ["boot", "c"]).where("room > 0")  # 4096 rows a round
+    at = d.where("room < m").withColumn("r", F.row_number().over(W.partitionBy("boot", "c").orderBy("h", "fn_id"))).where("r <= room")
+    return d.where("room >= m").select("boot", "fn_id").unionByName(at.select("boot", "fn_id"))
 
 
 def _runs(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -11,23 +13,37 @@ from . import profile as P
 from .blocking import DEFAULT, comparable
 
 
+def _sharing(lone: DataFrame, sigs: DataFrame, column: str, least: float) -> DataFrame:
+    """(fn_id, cluster_id) of which some member's set has a Jaccard similarity of ``least`` with the function's.
+
+    Such a member has at least that share of the function's items, so of these the most frequent may be left out: the member has one
+    of the rest, which an equi-join finds.
+    """
+    have = sigs.select("cluster_id", F.explode(column).alias("item")).distinct()
+    freq = have.groupBy("item").agg(F.count("*").alias("f"))
+    mine = lone.select("fn_id", F.explode(column).alias("item"), F.size(column).alias("n")).join(freq, "item", "left")
+    w = W.partitionBy("fn_id").orderBy(F.coalesce("f", F.lit(0)), "item")
+    rare = mine.withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("f").isNotNull())
+    return rare.select("fn_id", "item").join(have, "item").select("fn_id", "cluster_id").distinct()
+
+
 def possible(lone: DataFrame, sigs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(fn_id, cluster_id) that can reach the threshold at all.
 
-    The mean of three similarities is at least T only if the call similarity is at least 3T - 2. Above T = 2/3 that takes a call in
-    common with some member, which an equi-join finds, and of the function's calls the most frequent ones may be left out: any
-    member alike enough shares one of the rest. At or below 2/3 every pair is possible.
+    The mean of three similarities is at least T only if that of calls is 3T - 2. Where that is nothing (T up to 2/3), that of imports
+    or of calls must be (3T - 1) / 2. Below a third neither need be: then sequences of comparable length are possible, as the medoid's
+    must be alike by ``seq_fast_reject``; without that bound, too, all are, by their lengths' classes alone.
     """
-    least = 3 * cfg.identify_threshold - 2
-    pairs = lone.select("fn_id", "calls")
-    if least <= 1e-9:
-        return pairs.select("fn_id").crossJoin(sigs.select("cluster_id").distinct())
-    have = sigs.select("cluster_id", F.explode("calls").alias("call")).distinct()
-    freq = have.groupBy("call").agg(F.count("*").alias("f"))
-    mine = pairs.select("fn_id", F.explode("calls").alias("call"), F.size("calls").alias("n")).join(freq, "call", "left")
-    w = W.partitionBy("fn_id").orderBy(F.coalesce("f", F.lit(0)), "call")
-    rare = mine.withColumn("r", F.row_number().over(w)).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("f").isNotNull())
-    return rare.select("fn_id", "call").join(have, "call").select("fn_id", "cluster_id").distinct()
+    t = cfg.identify_threshold
+    if 3 * t - 2 > 1e-9:
+        return _sharing(lone, sigs, "calls", 3 * t - 2)
+    if 3 * t - 1 > 1e-9:
+        return _sharing(lone, sigs, "calls", (3 * t - 1) / 2).union(_sharing(lone, sigs, "imps", (3 * t - 1) / 2)).distinct()
+    # sequences are alike by s only if the shorter has s of the longer's length: classes of that ratio, and their neighbours
+    ratio = max(cfg.seq_fast_reject, 1e-6)
+    size = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / -math.log(min(ratio, 0.99)))
+    q = lone.select("fn_id", F.explode(F.array(size("enc") - 1, size("enc"), size("enc") + 1)).alias("c"))
+    return q.join(sigs.select("cluster_id", size("enc").alias("c")).distinct(), "c").select("fn_id", "cluster_id").distinct()
 
 
 def candidates(orphans: DataFrame, clusters: DataFrame, members: DataFrame, fns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -9,6 +9,10 @@ from ..operators import blocking, calibrate, report
 from ..plans.analysis import Analysis
 
 
+#: Tables that a stream appends to, with a partition for each of its batches; what the index began with is this one.
+GROWING, FIRST_BATCH = ("functions", "postings"), -1
+
+
 def write_index(analyses: dict[str, Analysis], index: str) -> None:
     """Writes the index of every language's analysis, in place of what was there. Tables that are read by language are partitioned by it."""
     for name, of in _TABLES.items():
@@ -18,7 +22,10 @@ def write_index(analyses: dict[str, Analysis], index: str) -> None:
             rows = d if rows is None else rows.unionByName(d)
         # a partitioned table without rows has no file to tell its schema
         rows.sparkSession.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{index}/_schemas/{name}")
-        rows.write.mode("overwrite").partitionBy(*(("tier",) if name == "clusters" else ("lang",))).parquet(f"{index}/{name}")
+        by = ("tier",) if name == "clusters" else ("lang",)
+        if name in GROWING:
+            rows, by = rows.withColumn("batch", F.lit(FIRST_BATCH)), (*by, "batch")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{index}/{name}")
 
 
 def _clusters(a: Analysis) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.utils import AnalysisException
 def table(spark: SparkSession, index: str, name: str) -> DataFrame:
     """A table of the index, with its schema even where it has no row."""
     schema = T.StructType.fromJson(json.loads(spark.read.text(f"{index}/_schemas/{name}").first()[0]))
-    return spark.read.schema(schema).parquet(f"{index}/{name}")
+    return spark.read.schema(schema).parquet(f"{index}/{name}").drop("batch")
 
 
 def clusters(spark: SparkSession, index: str, tier: str | None = None) -> DataFrame:

@@ -18,12 +18,18 @@ def functions(spark: SparkSession, folder: str, lang: str = "java") -> DataFrame
 
 
 def append(rows: DataFrame, index: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Writes the stream's functions and their postings below ``index``; both tables get a batch's files under the batch's number, so
-    that a batch which is tried again replaces what it left."""
+    """Writes the stream's functions and their postings into the tables of a stored index, in the partition of their language.
+
+    A batch is a partition of its own in it, as store.GROWING has it, so that a batch which is tried again replaces what it left.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, d in (("functions", batch), ("postings", blocking.postings(blocking.eligible(batch)))):
-            d.write.mode("overwrite").parquet(f"{index}/{name}/batch={number}")
+        able = blocking.eligible(batch)
+        langs = [r[0] for r in batch.select("lang").distinct().collect()]  # a handful: parsers, not rows
+        for lang in langs:
+            here = F.col("lang") == lang
+            for name, d in (("functions", batch.where(here).drop("lang")), ("postings", blocking.postings(able.where(here)))):
+                d.write.mode("overwrite").parquet(f"{index}/{name}/lang={lang}/batch={number}")
 
     w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()

@@ -102,6 +102,58 @@ def test_kernel():
     assert C.agglomerate([(0, 1, 0.7)], 2, 0.6, 0.75) == []
 
 
+def test_linking_in_rounds_is_the_kernel(spark):
+    """Many random components at once, with ties, against the kernel's groups and member order."""
+    r, rows, want = random.Random(7), [], set()
+    for c in range(40):
+        n = r.randrange(2, 14)
+        edges = [(i, j, round(r.uniform(0.7, 1), 1 + c % 2)) for i in range(n) for j in range(i + 1, n) if r.random() < 0.8]
+        edges = [e for e in edges if e[2] >= 0.75]
+        rows += [(c, 100 * c + i, 100 * c + j, s) for i, j, s in edges]
+        want |= {(c, tuple(100 * c + v for v in g)) for g in C.agglomerate(edges, n, 0.75)}
+    d = C.linked_in_rounds(spark.createDataFrame(rows, "component long, a long, b long, score double"))
+    got = {}
+    for x in d.collect():
+        got.setdefault((x["component"], x["g"]), []).append((x["pos"], x["v"]))
+    assert {(c, tuple(v for _, v in sorted(g))) for (c, _), g in got.items()} == want
+    assert all([p for p, _ in sorted(g)] == list(range(len(g))) for g in got.values())
+    assert C.linked_in_rounds(spark.createDataFrame([], "component long, a long, b long, score double")).count() == 0
+    assert C.linked_in_rounds(spark.createDataFrame([(0, 0, 1, 0.7), (1, 5, 6, 0.8)], "component long, a long, b long, score double"), 0.75).count() == 2
+
+
+def test_large_components_are_linked_in_rounds(spark, monkeypatch):
+    from simlattice.plans.catalogue import LOOSE
+    from simlattice.sources import corpora
+
+    a = Analysis(corpora.user_weeks(spark, "/root/testdata/sf0.001"), Config(identify_threshold=LOOSE))
+    want = sorted(map(tuple, a.groups.select("cluster_id", "fn_id", "member_pos").collect()))
+    monkeypatch.setattr(C, "KERNEL_EDGES", 5)
+    got = sorted(map(tuple, C.link_groups(a.edges, a.fns, a.cfg).select("cluster_id", "fn_id", "member_pos").collect()))
+    assert got == want and want
+
+
+def test_near_miss_search_loses_none(spark):
+    """At thresholds above and below two thirds, and below one: every pair that reaches the bar is possible."""
+    r, rows = random.Random(11), []
+    for i in range(60):
+        seq = [t if r.random() > 0.2 else r.randrange(22) for t in r.choice([[0, 1, 14, 7, 7, 16, 2], [3, 4, 18, 16, 7, 4, 18, 2, 5, 6, 1, 2]])]
+        rows.append((seq, r.sample("abcdef", r.randrange(4)), r.sample(["a.X", "b.Y", "c.Z", "d.W"], r.randrange(4))))
+    fns = corpus(spark, rows, 60)
+    members = spark.createDataFrame([(i % 6, i, i // 6) for i in range(30)], "cluster_id long, fn_id long, member_pos int")
+    lone = blocking.comparable(fns).where("fn_id >= 30")
+    sigs = P.signatures(members, fns)
+    both = lone.select("fn_id", "enc", F.col("imps").alias("im"), F.col("calls").alias("ca")).join(sigs.select("cluster_id", F.col("enc").alias("e"), "imps", "calls", "w"), F.lit(True))
+    from simlattice.functions import scalars as S
+
+    seq = S.seq_similarity(F.col("enc"), F.col("e"))
+    score = both.groupBy("fn_id", "cluster_id").agg((F.sum((seq + S.jaccard(F.col("im"), F.col("imps")) + S.jaccard(F.col("ca"), F.col("calls"))) / 3 * F.col("w")) / F.sum("w")).alias("s"), F.max(seq).alias("top")).collect()
+    for t in (0.75, 0.65, 0.5, 0.4, 0.3):
+        cfg = Config(identify_threshold=t)
+        got = {tuple(x) for x in near_miss.possible(lone, sigs, cfg).collect()}
+        need = {(x["fn_id"], x["cluster_id"]) for x in score if x["s"] >= t and x["top"] >= cfg.seq_fast_reject}
+        assert need <= got and (t < 0.6 or len(got) < 180), t
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000 + r.randrange(60), 1000 + r.randrange(60)) for _ in range(40)]

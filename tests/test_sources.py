@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from simlattice import cli
 from simlattice.operators import blocking
+from simlattice.plans.analysis import by_language
 from simlattice.schema import FUNCTIONS, complete
+from simlattice.sinks import store
 from simlattice.sources import corpora, files, tables
 from simlattice.streaming import ingest
 
@@ -54,6 +56,22 @@ def test_stream(spark, tmp_path):
     assert fns.count() == 1 and spark.read.parquet(str(tmp_path / "index/postings")).count() == blocking.postings(fns).count() == 2
 
 
+def test_append_to_a_stored_index(spark, tmp_path):
+    """init, append, query: the appended rows are in the same tables, and a second try of a batch adds nothing."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/A.json").write_text(json.dumps(RECORD))
+    index = str(tmp_path / "index")
+    go = complete(spark.createDataFrame([(i, f"f{i}", "p", "golang", [0, 1, 14, 7, 7 + i], ["fmt"], ["fmt.Print"]) for i in range(4)], "fn_id long, name string, package string, lang string, token_seq array<int>, direct_imports array<string>, call_targets array<string>"))
+    store.write_index(by_language(go), index)
+    before = tables.table(spark, index, "functions").count()
+    ingest.append(ingest.functions(spark, str(tmp_path / "in")), index, str(tmp_path / "state"), available_now=True).awaitTermination()
+    ingest.append(ingest.functions(spark, str(tmp_path / "in")), index, str(tmp_path / "again"), available_now=True).awaitTermination()
+    fns, posts = tables.table(spark, index, "functions"), tables.table(spark, index, "postings")
+    assert before == 4 and fns.count() == 5 and "batch" not in fns.columns and fns.where("lang = 'java'").first()["name"] == "m"
+    assert posts.where("lang = 'java'").count() == 2 and posts.where("lang = 'golang'").count() == blocking.postings(blocking.eligible(go)).count()
+    assert by_language(fns)["java"].fns.count() == 1 and by_language(fns)["golang"].postings.count() > 0
+
+
 def test_complete(spark):
     r = complete(spark.createDataFrame([(1, [3, 1, 2], ["b", None, "a", "b"])], "FN_ID long, token_seq array<int>, direct_imports array<string>")).first()
     assert r["direct_imports"] == ["a", "b"] and r["name"] == "" and r["features"]["control_flow"]["if"] == 0 and len(r["token_seq_hash"]) == 1 and r["call_targets"] == []
