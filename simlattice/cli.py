@@ -1,4 +1,4 @@
-"""The commands: init, query, export, analyze, calibrate and version. ``python -m simlattice.cli COMMAND --repo PATH``"""
+"""The commands: init, query, export, analyze, calibrate, study, findings and version. ``python -m simlattice.cli COMMAND --repo PATH``"""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
-from .operators import deltas
+from .operators import calibrate, deltas
 from .plans.analysis import Analysis, by_language
-from .sinks import documents, store
+from .runtime import cut
+from .sinks import documents, store, studies
 from .sources import files, tables
 
 
+#: Fewer functions than this tell nothing about a threshold.
+LEAST_ELIGIBLE = 10
+
+
 def _session() -> SparkSession:
     return SparkSession.builder.appName("simlattice").getOrCreate()
 
@@ -51,11 +57,14 @@ def main(argv: list[str] | None = None) -> int:
         if name == "cluster":
             c.add_argument("shape", help="the shape hash, in full")
     sub.add_parser("version")
+    sub.add_parser("study", help="write the documents of a study over releases").add_argument("folder", help="with releases.csv and outliers-<tag>.json")
+    sub.add_parser("findings", help="write the matrix of findings as Markdown and as a page").add_argument("file", help="JSON")
     args = p.parse_args(argv)
     if args.command == "version":
         print(__version__)
         return 0
-    spark, index = _session(), args.index or os.path.join(args.repo, ".simlattice")
+    spark = _session()
+    index = getattr(args, "index", None) or os.path.join(getattr(args, "repo", ""), ".simlattice")
     if args.command == "init":
         fns = files.read_tree(spark, args.repo, args.records)
         analyses = by_language(fns)
@@ -73,11 +82,28 @@ def main(argv: list[str] | None = None) -> int:
         for line in documents.json_lines(_stored(spark, index).export(repo=args.repo, commit=tables.head_commit(args.repo), min_score=args.min_score)):
             print(line)
     elif args.command == "calibrate":
-        a = Analysis(files.read_tree(spark, args.repo))
-        points = a.calibrate(rounds=args.rounds)
-        points.orderBy("threshold").show(truncate=False)
-        if args.output:
-            store.write_calibration(points, args.output)
+        a = Analysis(files.read_tree(spark, args.repo).where("lang = 'golang'"))
+        eligible = calibrate.eligible_count(a.fns).first()["eligible"]
+        if eligible < LEAST_ELIGIBLE:
+            print(f"{eligible} eligible functions are too few to calibrate with; {LEAST_ELIGIBLE} are needed", file=sys.stderr)
+            return 1
+        points = cut(a.calibrate(rounds=args.rounds))
+        by_sequence = cut(calibrate.sequence_sweep(a.fns, a.cfg, rounds=args.rounds))
+        for line in studies.calibration_text(points, calibrate.knee(points), by_sequence, eligible, args.rounds):
+            print(line)
+        store.write_calibration(points, args.output or os.path.join(index, "calibration.csv"))
+    elif args.command == "study":
+        rel = tables.csv(spark, os.path.join(args.folder, "releases.csv"), "tag string, idx long, clusters long, functions long")
+        snaps = tables.snapshots(spark, args.folder, rel)
+        sizes = snaps.where("cluster <> ''").groupBy("tag", "idx", F.col("cluster").alias("shape_hash")).agg(F.count("*").alias("size"))
+        found, title = studies.study_tables(snaps, rel, sizes), os.path.basename(os.path.abspath(args.folder))
+        studies.write_study(found, os.path.join(args.folder, "tables"))
+        documents.save(studies.study_report(found, title), os.path.join(args.folder, "report.md"))
+        documents.save(studies.analysis_report(found, title), os.path.join(args.folder, "analysis.md"))
+    elif args.command == "findings":
+        found, base = tables.findings(spark, args.file), os.path.splitext(args.file)[0]
+        documents.save(documents.security_markdown(found, os.path.basename(base)), base + ".md")
+        documents.save(studies.findings_page(found, os.path.basename(base)), base + ".html")
     elif args.what == "outlier":
         rows = _stored(spark, index).outliers()
         for line in documents.json_lines(rows) if args.format == "json" else documents.outlier_text(rows):

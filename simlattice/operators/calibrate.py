@@ -170,6 +170,15 @@ def calibrate(fns: DataFrame, cfg: Config = DEFAULT, thresholds: tuple[float, ..
     return tradeoff(full, fns, stability(full.select("threshold", "cluster_id").distinct(), matched, rounds))
 
 
+def sequence_sweep(fns: DataFrame, cfg: Config = DEFAULT, values: tuple[float, ...] = SEQ_THRESHOLDS, **options) -> DataFrame:
+    """calibrate() at the one identify_threshold of ``cfg``, for each of a few sequence thresholds, as ``seq_threshold``."""
+    from dataclasses import replace
+    from functools import reduce
+
+    runs = [calibrate(fns, replace(cfg, seq_similarity_threshold=v), (cfg.identify_threshold,), **options).withColumn("seq_threshold", F.lit(v)) for v in values]
+    return reduce(DataFrame.unionByName, runs)
+
+
 def csv_rows(points: DataFrame) -> DataFrame:
     """(line): the table of points as CSV lines, tightest threshold first."""
     f = lambda c, n: F.format_string(f"%.{n}f", F.coalesce(F.col(c), F.lit(0)).cast("double"))

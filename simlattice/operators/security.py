@@ -22,6 +22,14 @@ def matrix_cells(findings: DataFrame) -> DataFrame:
     return d.select("row", "cwe", F.get(names, F.col("r")).alias("worst"), "findings")
 
 
+def worst_cells(findings: DataFrame) -> DataFrame:
+    """matrix_cells() with ``example``, what the worst finding of each cell says; of several, the least text."""
+    have = {c.lower() for c in findings.columns}
+    text = F.concat_ws(" ", *[F.col(c) for c in ("cwe", "function", "reason", "id") if c in have])
+    d = findings.select(row_key().alias("row"), S.cwe_column(F.col("cwe")).alias("cwe"), F.struct((-S.severity_rank(F.col("severity"))).alias("r"), text.alias("t")).alias("x"))
+    return matrix_cells(findings).join(d.groupBy("row", "cwe").agg(F.min("x").alias("x")), ["row", "cwe"]).select("row", "cwe", "worst", "findings", F.col("x.t").alias("example"))
+
+
 def severity_matrix(findings: DataFrame) -> DataFrame:
     """A row for each cluster and a column for each weakness, by number: the worst severity's letter and the count, '·' if none.
 

@@ -40,8 +40,9 @@ _TABLES = {
 
 def write_calibration(points: DataFrame, path: str) -> None:
     """The table of points as one CSV file; it has a row for each threshold."""
-    header = points.sparkSession.createDataFrame([("threshold,clusters,clustered,coverage,coherence,callCoherence,meanScore,bootstrapStability,stableClusters,noiseClusters,meanSize,medianSize,maxSize",)], "line string")
-    header.unionAll(calibrate.csv_rows(points)).coalesce(1).write.mode("overwrite").text(path)
+    header = "threshold,clusters,clustered,coverage,coherence,callCoherence,meanScore,bootstrapStability,stableClusters,noiseClusters,meanSize,medianSize,maxSize"
+    lines = [header, *[r[0] for r in calibrate.csv_rows(points).collect()]]  # one row, so that the header stays in front
+    points.sparkSession.createDataFrame([("\n".join(lines),)], "lines string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -98,6 +98,18 @@ def advisories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, summary string, aliases array<string>, cwes array<string>").option("multiLine", "true").json(path).where("id is not null").dropDuplicates(["id"])
 
 
+def advisory_names(module: Column) -> Column:
+    """The names under which advisories may list a Go module: itself, its first major version, and the versions 2 to 9 beside it."""
+    base = F.regexp_replace(module, "/v[0-9]+$", "")
+    return F.array_distinct(F.concat(F.array(module, base), F.transform(F.sequence(F.lit(2), F.lit(9)), lambda n: F.concat(base, F.lit("/v"), n.cast("string")))))
+
+
+def advisories_of(modules: DataFrame, published: DataFrame) -> DataFrame:
+    """(module, id, summary, fixed): published advisories (id, name, summary, fixed) of each module, or of a version beside it, once."""
+    d = modules.select("module", F.explode(advisory_names(F.col("module"))).alias("name")).join(published, "name")
+    return d.dropDuplicates(["module", "id"]).select("module", "id", F.substring(F.coalesce("summary", F.lit("")), 1, 200).alias("summary"), F.array_sort(F.array_distinct(F.coalesce("fixed", F.array().cast("array<string>")))).alias("fixed"))
+
+
 FINDING = "id string, pass string, cwe string, cwe_name string, title string, severity string, confidence string, cluster_id string, package string, function string, location string, signal string, reason string, assumption string, blast_radius array<string>, suggested_fix string, confirm_with string, leverage string, leverage_reason string, sast_overlap string, known_status string, related_advisories array<string>, verification struct<status: string, checks: string, corrected_location: string, notes: string>"
 
 
