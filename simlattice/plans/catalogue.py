@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import blocking, calibrate, deltas, longitudinal, report, secur
 from ..operators import cluster as C
 from ..operators import profile as P
 from ..schema import Config
-from ..sources import corpora
+from ..sources import corpora, files, tables
 from .analysis import Analysis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,6 +388,39 @@ def _study(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return s, corpora.releases(s)
 
 
+#: A few source files and parser records that come with the library.
+EXAMPLE = Path(__file__).parent / "example"
+
+
+def _example(spark: SparkSession) -> DataFrame:
+    return files.read_tree(spark, str(EXAMPLE / "store"), str(EXAMPLE / "records"))
+
+
+def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function rows of the example's sources: walk, filters, parser, records."""
+    params = F.array_join(F.transform("params", lambda x: x["type_name"]), "|").alias("params")
+    returns = F.array_join(F.transform("returns", lambda x: F.concat(x["type_name"], F.when(x["is_error"], "!").otherwise(""))), "|").alias("returns")
+    d = _example(spark).select("lang", "package", "name", "receiver", "start_line", "line_count", "is_method", "is_exported", "is_constructor", "generated_code", "test_code", params, returns, S.seq_string(F.col("token_seq")).alias("tokens"), _text("call_targets", "|"), _text("imports", "|"), _text("direct_imports", "|"))
+    return d
+
+
+def source_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = lambda x: F.col(f"features.{x}").alias(x)
+    flow = F.concat_ws(",", *[F.col(f"features.control_flow.{x}").cast("string") for x in ("if", "for", "range", "select", "return", "defer", "go", "send", "continue")]).alias("flow")
+    return _example(spark).select("name", *[f(x) for x in ("cyclomatic_complexity", "branching_depth", "nesting_depth", "outbound_calls", "goroutine_spawns", "param_count", "return_count", "has_func_param", "has_context_param", "has_error_return")], flow)
+
+
+def source_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = files.packages(files.scan(spark, str(EXAMPLE)))
+    return d.select("pkg_dir", F.array_join(F.transform("files", lambda x: x["name"]), "|").alias("files"))
+
+
+def advisory_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' sources as modules of a third major version, and the names under which advisories may list each."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("source is not null").select(F.concat(F.lit("example.org/"), "source", F.lit("/v3")).alias("module")).distinct()
+    return d.select("module", F.explode(tables.advisory_names(F.col("module"))).alias("name"))
+
+
 def release_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longitudinal.release_order(_study(spark, sf_dir)[1])
 
@@ -494,7 +528,7 @@ NAMED: tuple[Query, ...] = (
     groups, clusters, orphans, event_groups, event_clusters, event_orphans, exact_shape_groups, modal_shape, shape_disambiguation, profile, top_imports, top_call_targets, coherence, cluster_stats, medoids, representatives, common_sequence,
     cluster_table, tier_counts, tier_rollup, ordinals, near_misses, delta_rows, delta_tokens, token_delta, import_delta, outliers, outlier_groups, potentials, export, export_min_score, corpus_size, member_details,
     score_histogram, size_histogram, report_means, score_verdict, size_verdict, package_coverage, delta_direction, missing_tokens, cluster_rows, agreement, sweep, seq_sweep, grid, subsamples,
-    calibration, knee, eligible_count, release_order, outlier_tracking, cluster_tracking, cluster_persistence, outlier_persistence, resolutions, resolution_counts, transitions, threshold_drift,
+    calibration, knee, eligible_count, source_rows, source_features, source_packages, advisory_names, release_order, outlier_tracking, cluster_tracking, cluster_persistence, outlier_persistence, resolutions, resolution_counts, transitions, threshold_drift,
     growth, chains, chain_events, commit_counts, verdict_counts, severity_cells, severity_matrix, weaknesses, finding_counters, report_gate,
 )
 

@@ -372,6 +372,21 @@ def oracle_sql() -> dict[str, str]:
     out["knee"] = """SELECT threshold AS knee_threshold, round(drop, 6) AS max_drop FROM (SELECT threshold, lag(s) OVER (ORDER BY threshold DESC) - s AS drop, count(*) OVER () AS n FROM
         (SELECT threshold, sum(n) OVER (ORDER BY threshold) / sum(n) OVER ()::DOUBLE AS s FROM (SELECT round(l_discount, 2) AS threshold, count(*) AS n FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1)))
         WHERE n >= 3 AND drop >= 0.05 ORDER BY drop DESC, threshold DESC LIMIT 1"""
+    # what a reader of the example's few files would write down
+    rows = """
+('golang', 'store', 'made', '', 6, 1, false, false, false, true, false, '', '', 'CALL_PKG', 'fmt.Println', 'fmt', 'fmt'),
+('golang', 'store', 'New', '', 12, 3, false, true, true, false, false, 'int', '*Store', 'RETURN COMPOSITE_LIT CALL RETURN', '', 'context|errors|fmt|strings', ''),
+('golang', 'store', 'Get', '*Store', 16, 11, true, true, false, false, false, 'context.Context|string', 'int|error!', 'IF BINARY_OP RETURN CALL_PKG RANGE IF BINARY_OP CALL_PKG RETURN RETURN CALL_PKG RETURN RETURN', 'errors.New|fmt.Errorf|strings.ToLower', 'context|errors|fmt|strings', 'context|errors|fmt|strings'),
+('golang', 'store', 'watch', '*Store', 28, 13, true, false, false, false, false, 'func|chan string', '', 'DEFER CALL RANGE IF CALL CONTINUE SELECT COMM SEND COMM GO CALL_METHOD', '', 'context|errors|fmt|strings', ''),
+('golang', 'store', 'sum', '', 42, 6, false, false, false, false, false, '...int', 'int', 'FOR ASSIGN BINARY_OP CALL ASSIGN RETURN RETURN', '', 'context|errors|fmt|strings', ''),
+('java', 'shop', 'pay', '', 3, 0, false, false, false, false, false, '', '', 'TRY CALL_METHOD CATCH RETURN THROW', 'a|b', '', 'java.util.List')"""
+    out["source_rows"] = f"SELECT * FROM (VALUES {rows}) AS v(lang, package, name, receiver, start_line, line_count, is_method, is_exported, is_constructor, generated_code, test_code, params, returns, tokens, call_targets, imports, direct_imports)"
+    rows = """
+('made', 1, 0, 0, 1, 0, 0, 0, false, false, false, '0,0,0,0,0,0,0,0,0'), ('New', 1, 0, 0, 1, 0, 1, 1, false, false, false, '0,0,0,0,1,0,0,0,0'), ('Get', 4, 1, 2, 3, 0, 2, 2, false, true, true, '2,0,1,0,3,0,0,0,0'),
+('watch', 5, 1, 2, 3, 1, 2, 0, true, false, false, '1,0,1,1,0,1,1,1,1'), ('sum', 2, 0, 1, 1, 0, 1, 1, false, false, false, '0,1,0,0,1,0,0,0,0'), ('pay', 0, 0, 0, 0, 0, 0, 0, false, false, false, '0,0,0,0,0,0,0,0,0')"""
+    out["source_features"] = f"SELECT * FROM (VALUES {rows}) AS v(name, cyclomatic_complexity, branching_depth, nesting_depth, outbound_calls, goroutine_spawns, param_count, return_count, has_func_param, has_context_param, has_error_return, flow)"
+    out["source_packages"] = "SELECT 'store' AS pkg_dir, 'broken.go|made.go|store.go' AS files"
+    out["advisory_names"] = "SELECT module, unnest(list_concat([module, base], list_transform(list_filter(range(2, 10), lambda n: n <> 3), lambda n: base || '/v' || n))) AS name FROM (SELECT DISTINCT 'example.org/' || source || '/v3' AS module, 'example.org/' || source AS base FROM documents WHERE source IS NOT NULL)"
     out["release_order"] = q("SELECT tag, idx FROM rel", SNAPS)
     out["outlier_tracking"] = q("SELECT * FROM track", SNAPS, TRACK)
     out["cluster_tracking"] = q("SELECT * FROM ctrack", SNAPS, CTRACK)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import deltas, report, security
+from ..operators import profile as P
 from ..plans.analysis import Analysis
 
 
@@ -84,7 +85,49 @@ def pattern_index(a: Analysis, title: str) -> Iterator[str]:
         yield f"- {m['package']}.{m['func']}  {m['file']}:{m['line']}"
 
 
-_STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:3px 8px;text-align:left}.green{color:#080}.yellow{color:#a70}.red{color:#b00}.bar{background:#58a;height:8px}"
+_STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:3px 8px;text-align:left}.green{color:#080}.yellow{color:#a70}.red{color:#b00}.bar{background:#58a;height:8px}.card{border:1px solid #ccc;border-radius:6px;padding:8px 12px;margin:10px 0}.chip{display:inline-block;border:1px solid #aaa;border-radius:9px;padding:0 7px;margin:1px}.add{background:#efe}.lack{background:#fee}pre{background:#f6f6f6;padding:6px}"
+
+
+def _cards(a: Analysis) -> Iterator[str]:
+    """A card for each cluster, by tier and rank: badges, bar, common shape, packages, members with bodies, and who nearly belongs."""
+    e = lambda x: html.escape(str(x))
+    order = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
+    rows = report.cluster_rows(a.clusters, a.members, a.fns, a.near_misses)
+    scores = P.member_scores(a.members, a.fns, "geo")
+    members = deltas.member_details(a.members, a.fns).join(scores, ["cluster_id", "fn_id"]).join(a.clusters.select("cluster_id", "shape_hash"), "cluster_id")
+    every = rows.select("shape_hash", order.alias("t"), *[c for c in rows.columns if c != "shape_hash"]).join(members.select("shape_hash", "func", "package", "file", "line", "body", "score"), "shape_hash")
+    now = None
+    for r in every.orderBy("t", "ordinal", F.desc("score"), "package", "func").toLocalIterator():
+        if r["shape_hash"] != now:
+            if now is not None:
+                yield "</ul></div>"
+            now = r["shape_hash"]
+            chips = "".join(f"<span class=chip>{e(x)}</span>" for x in (r["imports"].split(", ") if r["imports"] else []))
+            near = "".join(f"<span class=chip>{e(x)}</span>" for x in r["potentials"])
+            yield (
+                f'<div class=card><h3>{e(r["tier"])} {r["ordinal"]}: {e(r["label"])} <small class="shape">{e(now)}</small></h3><div class=bar style="width:{r["bar"]}%"></div>'
+                f'<p>{r["size"]} members in {e(r["packages"])} · score <b class={r["score_badge"]}>{r["avg_score"]:.2f}</b> · coherence <b class={r["coherence_badge"]}>{r["coherence"]:.2f}</b> · calls {r["call_coherence"]:.2f} · complexity {r["cyclo_mean"]:.1f}</p>'
+                f'<pre>{e(r["common_shape"])}</pre><p>{chips}</p>' + (f"<p>nearly: {near}</p>" if near else "") + "<ul>"
+            )
+        body = f"<details><summary>body</summary><pre>{e(r['body'])}</pre></details>" if r["body"] else ""
+        yield f"<li>{e(r['package'])}.{e(r['func'])} <small>{e(r['file'])}:{r['line']}</small> {_percent(r['score'])}{body}</li>"
+    if now is not None:
+        yield "</ul></div>"
+
+
+def _percent(score: float) -> str:
+    return f"{int(score * 100)}%"
+
+
+def _near_cards(a: Analysis) -> Iterator[str]:
+    """A card for each cluster that near misses are closest to, with what each of them adds and lacks."""
+    e = lambda x: html.escape(str(x))
+    for g in deltas.outlier_groups(a.near_misses, a.clusters, a.fns).toLocalIterator():
+        yield f'<div class=card><h3>near {e(g["cluster_label"] or g["cluster_id"])} ({e(g["tier"])})</h3><pre>{e(g["common_shape"])}</pre><ul>'
+        for o in g["outliers"]:
+            chips = "".join(f"<span class='chip {kind}'>{sign}{e(x)}</span>" for side in deltas.SIDES for kind, sign, what in (("add", "+", "added"), ("lack", "-", "removed")) for x in o[f"{side}_{what}"])
+            yield f"<li>{e(o['package'])}.{e(o['name'])} <small>{e(o['file_path'])}:{o['line']}</small> complexity {o['cyclo_delta']:+.1f} {chips or '—'}</li>"
+        yield "</ul></div>"
 
 
 def _table(rows: DataFrame, title: str) -> Iterator[str]:
@@ -109,9 +152,10 @@ def html_report(a: Analysis, title: str) -> Iterator[str]:
     yield from _table(report.package_coverage(a.members, found, a.fns).orderBy(F.desc("total"), "package"), "Packages")
     yield from _table(report.delta_direction(d).orderBy("bucket"), "Directions")
     yield from _table(report.missing_tokens(d).orderBy(F.desc("count"), "token"), "Missing tokens")
-    order = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
-    yield from _table(report.cluster_rows(a.clusters, a.members, a.fns, found).orderBy(order, "ordinal"), "Clusters")
-    yield from _table(deltas.outlier_groups(found, a.clusters, a.fns), "Near misses")
+    yield "<h2>Clusters</h2>"
+    yield from _cards(a)
+    yield "<h2>Near misses</h2>"
+    yield from _near_cards(a)
     yield "</body></html>"
 
 

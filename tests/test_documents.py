@@ -1,6 +1,7 @@
 import csv
 import glob
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -99,3 +100,20 @@ def test_pattern_index(spark):
     a.__dict__["clusters"] = a.clusters.withColumn("label", F.lit("retry"))
     text = "\n".join(documents.pattern_index(a, "x"))
     assert "1 patterns" in text and "## retry" in text and "- p.f0" in text
+
+
+def test_report_page(spark):
+    from simlattice.plans.analysis import Analysis
+    from simlattice.plans.catalogue import LOOSE
+    from simlattice.schema import Config
+    from simlattice.sources import corpora
+
+    fns = corpora.user_weeks(spark, "/root/testdata/sf0.01").withColumn("body", F.concat(F.lit("func <"), "name", F.lit(">")))
+    a = Analysis(fns, Config(identify_threshold=LOOSE))
+    page = "\n".join(documents.html_report(a, "<t>"))
+    members = a.members.count()
+    assert "<t>" not in page and page.count("<div class=card><h3>high") + page.count("<div class=card><h3>medium") + page.count("<div class=card><h3>low") == a.clusters.count() > 10
+    assert page.count("<details>") == members and "func &lt;user" in page and page.count("<div class=card><h3>near ") == a.near_misses.where("rank = 1").select("cluster_id").distinct().count() > 3
+    assert "class='chip lack'" in page and "class='chip add'" in page and "nearly: <span class=chip>" in page and page.count("<ul>") == page.count("</ul>")
+    order = [(("high", "medium", "low").index(t), int(k)) for t, k in re.findall("<h3>(high|medium|low) ([0-9]+):", page)]
+    assert order == sorted(order) and len(order) == a.clusters.count()
