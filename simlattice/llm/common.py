@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: A token of the operators that count tokens: a maximal run of characters other than blank, tab and line ends.
 TOKEN = "[^ \\t\\n\\r]+"
 #: Numpy work is cut into slices of about so many bytes of text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +47,16 @@ def small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+def tidy() -> None:
+    """Gives memory that Python no longer uses back to the machine: workers wait for their next task, and several share an executor."""
+    import ctypes  # here, since functions travel to the workers with their globals, and a library can't
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: like cut(), but columns are packed and read alone. It goes when the driver ends."""
     spark = df.sparkSession
@@ -53,7 +64,26 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what stored() keeps for exactly this DataFrame, once nothing reads it any more."""
+    df.stored_at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(df.stored_at, True)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Actions within send Python at most so many rows at a time, so that long texts don't make batches of a hundred megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 #: Bits of a key filter. It is of this size whatever the data; beyond some ten million keys more passes that needn't.
@@ -86,6 +116,7 @@ def key_filter(keys: DataFrame, key: str = "key", twice: bool = False):
             ends = np.searchsorted(places, np.arange(0, bits + 1, block))
             some = np.flatnonzero(np.diff(ends))
             low = (places % block).astype(np.uint16)
+            tidy()
             yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int64()), "often": pa.array([often] * len(some), pa.bool_()), "places": pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +190,7 @@ def slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, p
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
+    tidy()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
