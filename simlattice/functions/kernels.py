@@ -86,18 +86,29 @@ def strip_source(source: str) -> str:
     return _PARTS.sub(_blanked, source)
 
 
+_LANDMARK = re.compile(r"^func\b|\{|\}", re.M)
+_HEAD = re.compile(r"func\s+(?:\([^)]*\)\s+)?(\w+)\s*\(")
+
+
+def functions_in(stripped: str) -> Iterator[tuple[str, int, int]]:
+    """(name, begin, end) of the functions in a stripped source, in one pass: from the head to where its first block closes."""
+    open_heads: list[tuple[str, int]] = []
+    depth = 0
+    for mark in _LANDMARK.finditer(stripped):
+        if mark[0] == "func":
+            head = _HEAD.match(stripped, mark.start())
+            open_heads, depth = ([(head[1], mark.start())] if head else []), 0
+        elif open_heads:
+            depth += 1 if mark[0] == "{" else -1
+            if depth == 0:
+                name, begin = open_heads.pop()
+                yield name, begin, mark.end()
+
+
 def find_function(source: str, name: str) -> tuple[str, str] | None:
     """The function's text, as it is and stripped; None if it isn't there or never ends."""
     stripped = strip_source(source)
-    for m in re.finditer(rf"^func\s+(?:\([^)]*\)\s+)?{re.escape(name)}\s*\(", stripped, re.M):
-        begin = stripped.find("{", m.end() - 1)
-        depth = 0
-        for b in re.finditer(r"[{}]", stripped[begin:]) if begin >= 0 else ():
-            depth += 1 if b[0] == "{" else -1
-            if not depth:
-                end = begin + b.end()
-                return source[m.start() : end], stripped[m.start() : end]
-    return None
+    return next(((source[a:b], stripped[a:b]) for n, a, b in functions_in(stripped) if n == name), None)
 
 
 def normal_form(body: str) -> str:
@@ -116,7 +127,6 @@ def coarse_tokens(stripped: str) -> list[str]:
     return out
 
 
-
 @F.pandas_udf(T.StringType())
 def normal_form_udf(body: pd.Series) -> pd.Series:
     return body.map(lambda x: None if x is None else normal_form(x))
