@@ -226,6 +226,21 @@ def test_random_corpus_against_plain_python(spark):
     assert sorted(map(str, shuffled.groups.collect())) == sorted(map(str, a.groups.collect()))
 
 
+def test_pairs_are_dropped_before_functions_meet(spark):
+    """Of the pairs that share a hash, only those that share enough and are of comparable lengths are candidates; edges need no more scores."""
+    r = random.Random(5)
+    rows = [([r.randrange(6) for _ in range(r.choice([5, 9, 40]))], r.sample("abcd", 3), r.sample("vwxyz", 4)) for _ in range(80)]
+    rows += [([0, 1, 2, 3, 4, 5, i % 3], ["a", "b"], ["v", "w"][: 1 + i % 2]) for i in range(20)]
+    able = blocking.eligible(corpus(spark, rows, 120))
+    shared = blocking.shared_pairs(blocking.postings(able))
+    scored = blocking.scored_pairs(shared, able)
+    c = blocking.candidates(able)
+    assert scored.count() <= c.count() < shared.count()
+    full, short = blocking.compared(c, able), blocking.compared(c, able, least=0.75)
+    text = lambda d: sorted(map(str, d.collect()))
+    assert text(full) == text(scored) and text(blocking.edges(short)) == text(blocking.edges(full)) and 0 < short.count() < full.count()
+
+
 def test_self_pairs_only_when_asked(spark):
     rows = [([5, 6, 5, 6, 5, 6, 5, 6, 5, 6, 5], [], [])]
     assert run(spark, rows)[2] == set() and run(spark, rows, compat=True)[2] == {0}
