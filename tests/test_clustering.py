@@ -282,6 +282,19 @@ def test_coherence_samples_by_stride(spark):
     assert P.coherence(m, fns).first()["coherence"] == pytest.approx(sum(a % 3 == b % 3 for a, b in pairs) / len(pairs))
 
 
+def test_whole_coherence_compares_all_members(spark):
+    r = random.Random(2)
+    sets = [(r.sample("abcd", r.randrange(4)), r.sample("xyz", r.randrange(1, 3))) for _ in range(130)]
+    fns = complete(spark.createDataFrame([(i, f"f{i}", "p", "a", i, SEQ, *s) for i, s in enumerate(sets)] + [(130, "g", "p", "a", 1, SEQ, [], [])], SCHEMA))
+    m = spark.createDataFrame([(0, i, i) for i in range(130)] + [(1, 130, 0)], "cluster_id long, fn_id long, member_pos int")
+    jac = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a or b else 0.0
+    pairs = [(sets[i], sets[j]) for i in range(130) for j in range(i)]
+    got = {x["cluster_id"]: x for x in P.coherence(m, fns, whole=True).collect()}
+    assert got[0]["coherence"] == pytest.approx(sum(jac(a[0], b[0]) for a, b in pairs) / len(pairs)) and got[0]["call_coherence"] == pytest.approx(sum(jac(a[1], b[1]) for a, b in pairs) / len(pairs))
+    assert got[1]["coherence"] == got[1]["call_coherence"] == 1.0
+    assert P.assemble(m.where("cluster_id = 0"), fns).first()["coherence"] == pytest.approx(got[0]["coherence"])
+
+
 def test_shape_hashes_are_told_apart(spark):
     fns = corpus(spark, [(SEQ, *FMT)] * 9, 9)
     m = spark.createDataFrame([(i // 3, i, i % 3) for i in range(9)], "cluster_id long, fn_id long, member_pos int")
