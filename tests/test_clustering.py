@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from simlattice.operators import blocking, deltas, near_miss, report
 from simlattice.operators import cluster as C
 from simlattice.operators import profile as P
+from simlattice.plans import catalogue
 from simlattice.plans.analysis import Analysis
 from simlattice.runtime import with_position
 from simlattice.schema import Config, complete
@@ -367,3 +368,9 @@ def test_verdicts_on_histograms(spark):
     assert sizes == ["none", "idioms", "healthy", "local", "mixed"]
     scores = [report.explain_scores(h(*c)).first()["verdict"] for c in ((3, 3, 4, 0, 6), (1, 1, 1, 3, 4), (5, 5, 5, 1, 1), (5, 4, 3, 2, 1), (1, 3, 2, 4, 1))]
     assert scores == ["bimodal", "clones", "conventions", "conventions", "spread"]
+
+
+def test_export_of_no_clusters_has_nulls(spark, tmp_path):
+    d = spark.createDataFrame([(i, 1, "click", 1.0) for i in range(9)], "event_id long, user_id long, event_type string, value double")
+    d.select("*", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id")).alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    assert tuple(catalogue.export(spark, str(tmp_path)).first()) == ("events", "", 0, 0, None, None)
